@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tapeflow.llm.common import table
+from tapeflow.llm.common import held_out, table
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeflow.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeflow.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeflow.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeflow.llm.licenses import document_path, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs.select("doc_id", document_path().alias("path"), "text"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +40,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select(own)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeflow.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeflow.llm.classifier import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out("doc_id", 5, 0)
+    model, _ = train(docs, table(spark, sf_dir, "labels"), ~out)
+    return score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeflow.llm.url_filters import filter_urls, junk_listed
 
@@ -23,6 +63,15 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tapeflow.llm.language_id import predict, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out("doc_id", 3, 1)
+    model = train(docs, ~out)
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tapeflow.llm.pii import digest, find_pii
 
