@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +23,19 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
+MODULES = ("book_queries",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"tapeflow.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
