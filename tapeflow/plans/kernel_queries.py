@@ -188,12 +188,12 @@ def flagged(spark, sf_dir):
 
 
 UNIQUE = f"""WITH {QUOTES}, t AS (SELECT instrument_id, row_seq, u, row_seq % 3 <> 0 AS trainable FROM f), x AS (SELECT instrument_id, row_seq, unnest(range(u + 1, u + 9)) AS s FROM t WHERE trainable),
-c AS (SELECT instrument_id, s, count(*) AS n FROM x GROUP BY ALL), w AS (SELECT instrument_id, row_seq, sum(1.0 / n) / 8 AS w FROM x JOIN c USING (instrument_id, s) GROUP BY ALL)"""
+c AS (SELECT instrument_id, s, count(*) AS n FROM x GROUP BY ALL), w AS (SELECT instrument_id, row_seq, sum(CAST(1 AS DOUBLE) / n) / 8 AS w FROM x JOIN c USING (instrument_id, s) GROUP BY ALL)"""
 
 
-@query("uniqueness_weights", f"{UNIQUE} SELECT t.instrument_id, t.row_seq, round(coalesce(w, 0), 6) AS uniqueness FROM t LEFT JOIN w USING (instrument_id, row_seq)")
+@query("uniqueness_weights", f"{UNIQUE} SELECT t.instrument_id, t.row_seq, round(coalesce(w, 0), 9) AS uniqueness FROM t LEFT JOIN w USING (instrument_id, row_seq)")
 def uniqueness_weights(spark, sf_dir):
-    return samples.uniqueness(flagged(spark, sf_dir), KEYS, 8, HOUR).select("instrument_id", "row_seq", F.round("uniqueness", 6).alias("uniqueness"))
+    return samples.uniqueness(flagged(spark, sf_dir), KEYS, 8, HOUR).select("instrument_id", "row_seq", F.round("uniqueness", 9).alias("uniqueness"))
 
 
 @query("effective_n_summary", f"{UNIQUE} SELECT t.instrument_id, count(*) AS rows, count(*) FILTER (trainable) AS trainable, round(coalesce(sum(w), 0), 4) AS effective_n FROM t LEFT JOIN w USING (instrument_id, row_seq) GROUP BY t.instrument_id")
