@@ -205,11 +205,12 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns; the model is fitted on all of ``docs``."""
+    """The documents that stay, with their own columns; the model is fitted on all of ``docs``.
+
+    Documents and their counts are written to the shared folder once: the counts are too dear to make twice, and a join
+    by id would not do, as ids may repeat or be null.
+    """
     scratch = Scratch(docs.sparkSession, "quality-stage")
-    stats = scratch.cut(with_stats(docs.select("text", "lang", "source")).drop("text"))
-    model = fit(stats, scratch)
-    scratch.drop(stats)
-    # Counted again from the texts: a join by id would move the texts, and ids may repeat or be null.
     body = docs.select(F.struct(*docs.columns).alias("_doc"), "text", "lang", "source")
-    return judge(with_stats(body), model).where("kept").select("_doc.*")
+    stats = scratch.cut(with_stats(body).drop("text"))
+    return judge(stats, fit(stats, scratch)).where("kept").select("_doc.*")
