@@ -20,8 +20,13 @@ def _replayed(batches: Iterator[pa.RecordBatch], what: str, fields: list[str], s
     rows: list[dict] = []
 
     def take(session) -> None:
-        found = getattr(engine, what)
-        for i, x in enumerate(found):
+        if what == "counters":
+            found = [{"instrument_id": engine.iid, "counter": k, "n": n} for k, n in sorted(engine.counts.items())]
+        elif what == "incidents":
+            found = [{"instrument_id": engine.iid, "kind": k, "order_id": oid, "nth": i} for i, (k, oid) in enumerate(engine.incidents)]
+        else:
+            found = getattr(engine, what)
+        for x in found:
             x["session_date"] = session
         rows.extend(found)
         found.clear()
@@ -52,7 +57,9 @@ def _replayed(batches: Iterator[pa.RecordBatch], what: str, fields: list[str], s
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
-TYPES = {"session_date": pa.date32()} | {n: _ARROW[t] for s in (FLOW, LIFECYCLE) for n, t in (x.split() for x in s.split(", "))}
+COUNTERS = "instrument_id long, counter string, n long"
+INCIDENTS = "instrument_id long, kind string, order_id long, nth long"
+TYPES = {"session_date": pa.date32()} | {n: _ARROW[t] for s in (FLOW, LIFECYCLE, COUNTERS, INCIDENTS) for n, t in (x.split() for x in s.split(", "))}
 
 
 def _run(mbo: DataFrame, what: str, schema: str, settings: Settings) -> DataFrame:
@@ -73,6 +80,16 @@ def flow(mbo: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return _run(mbo, "flow", FLOW, settings)
 
 
+def kernel_counters(mbo: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Exact counts of records, removals and incidents of each instrument, a row for each counter."""
+    return _run(mbo, "counters", COUNTERS, settings)
+
+
+def incidents(mbo: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The first incidents of each instrument, at most ``settings.incidents``: a log, beside the exact counters."""
+    return _run(mbo, "incidents", INCIDENTS, settings)
+
+
 def orders_frame(life: DataFrame, tick: int = 100_000_000) -> DataFrame:
     """Typed lifecycle rows: lifetime, ticks, and the predicates of touch, cancel before touch and refill."""
     touched = F.coalesce(F.col("min_dist_same") <= 0, F.lit(False)) | (F.col("filled_size") > 0)

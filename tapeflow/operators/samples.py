@@ -146,3 +146,39 @@ def slow_blocks(dense: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame
     k = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("u")) - 1) / n).cast("bigint")
     b = dense.withColumn("block", k).groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("units"), (F.max_by("mid", "u") - F.min_by("mid", "u")).alias("move"), (F.max("mid") - F.min("mid")).alias("range"), F.sum("volume").alias("volume"))
     return b.where(F.col("units") == n).drop("units")
+
+
+def regime_percentiles(dense: DataFrame, keys: Sequence[str], values: Sequence[str], spans: Sequence[int]) -> DataFrame:
+    """Adds <value>_pct_<span>: the mid-rank of a unit's value among those of the ``span`` units before it; null without any."""
+
+    def rank(v: str, n: int) -> Column:
+        past = F.collect_list(v).over(Window.partitionBy(*keys).orderBy("u").rangeBetween(-n, -1))
+        low = F.aggregate(past, F.lit(0), lambda a, x: a + F.when(x < F.col(v), 2).when(x == F.col(v), 1).otherwise(0))
+        return F.when(F.size(past) > 0, low / 2 / F.size(past))
+
+    return dense.withColumns({f"{v}_pct_{n}": rank(v, n) for v in values for n in spans})
+
+
+def regime_tail(rows: DataFrame, ledger: DataFrame | None = None, ts: str = "ts") -> DataFrame:
+    """For rows with a calendar attached: capped seconds to and since events, tiers, blackout, phase code, settlement, and
+    with a roll ledger days to expiry and since the last roll."""
+    from tapeflow.operators import calendar as K
+    from tapeflow.schema import PHASES
+
+    cap = F.lit(7 * 86_400.0)
+    out = K.with_next_last(rows, ts)
+    t = F.col(ts)
+    out = out.withColumns(
+        {
+            "seconds_to_next": F.least("seconds_to_next", cap),
+            "seconds_since_last": F.least("seconds_since_last", cap),
+            "blackout": K.in_blackout(F.col(K.EVENTS), t).cast("int"),
+            "phase_code": F.array_position(F.array(*map(F.lit, PHASES)), K.phase(t)).cast("int") - 1,
+            "settlement": K.is_settlement(t).cast("int"),
+        }
+    ).drop(K.EVENTS)
+    if ledger is None:
+        return out
+    last = Window.orderBy("session_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a session
+    side = ledger.withColumn("_roll", F.max(F.when(F.col("rolled"), F.col("session_date"))).over(last)).select("session_date", "days_to_expiry", F.datediff("session_date", "_roll").alias("days_since_roll"))
+    return out.join(side, "session_date", "left")

@@ -220,3 +220,74 @@ def slow_blocks(spark, sf_dir):
 def model_inputs(spark, sf_dir):
     rows = flow_rows(spark, sf_dir).withColumns({c: V.signed_log(F.col(c)) for c in ("t_buy", "t_sell", "flow_b_1", "flow_a_1")})
     return samples.padded_inputs(rows.select("instrument_id", "row_seq", "ts", "t_buy", "t_sell", "flow_b_1", "flow_a_1"), KEYS, ["t_buy", "t_sell", "flow_b_1", "flow_a_1"], 32).drop("t_buy", "t_sell", "flow_b_1", "flow_a_1")
+
+
+# Records that meet no resting order, or one too many, from the order's record before.
+@query(
+    "book_incidents",
+    f"""WITH {MBO_SQL}, a AS (SELECT *, lag(action) OVER (PARTITION BY session_date, instrument_id, order_id ORDER BY seq) AS before FROM mbo WHERE action IN ('A', 'M', 'C')),
+k AS (SELECT session_date, instrument_id, CASE WHEN action = 'A' AND before IN ('A', 'M') THEN 'incident_duplicate_add' WHEN action = 'M' AND (before IS NULL OR before = 'C') THEN 'incident_unknown_modify' WHEN action = 'C' AND (before IS NULL OR before = 'C') THEN 'incident_unknown_cancel' END AS counter FROM a)
+SELECT session_date, instrument_id, counter, count(*) AS n FROM k WHERE counter IS NOT NULL GROUP BY ALL""",
+)
+def book_incidents(spark, sf_dir):
+    return replay.kernel_counters(read_mbo(spark, sf_dir)).where(F.col("counter").isin("incident_duplicate_add", "incident_unknown_modify", "incident_unknown_cancel"))
+
+
+@query("incident_log")
+def incident_log(spark, sf_dir):
+    return replay.incidents(read_mbo(spark, sf_dir))
+
+
+@query("kernel_counters")
+def kernel_counters(spark, sf_dir):
+    return replay.kernel_counters(read_mbo(spark, sf_dir))
+
+
+REGIME = ", ".join(f"""round((SELECT sum(CASE WHEN b.volume < d.volume THEN 2.0 WHEN b.volume = d.volume THEN 1.0 ELSE 0.0 END) / 2 / nullif(count(*), 0) FROM d b WHERE b.instrument_id = d.instrument_id AND b.u BETWEEN d.u - {n} AND d.u - 1), 6) AS volume_pct_{n}""" for n in (6, 24, 72))
+
+
+@query("regime_percentiles", f"{GRID} SELECT instrument_id, u, {REGIME} FROM d")
+def regime_percentiles(spark, sf_dir):
+    out = samples.regime_percentiles(grid_rows(spark, sf_dir), KEYS, ["volume"], [6, 24, 72])
+    return out.select("instrument_id", "u", *(F.round(f"volume_pct_{n}", 6).alias(f"volume_pct_{n}") for n in (6, 24, 72)))
+
+
+def model_rows(spark, sf_dir):
+    """Features of every row with the direction of the bid over the next hours as label."""
+    rows = X.features(flow_rows(spark, sf_dir), KEYS, SPEC)
+    labelled = scales.labels(path(spark, sf_dir), KEYS, 6, 0.02, 2.0).where("window_complete = 1").select("instrument_id", "u", "direction", "final_return")
+    joined = rows.withColumn("u", F.floor(F.col("ts") / HOUR).cast("bigint")).join(labelled, ["instrument_id", "u"])
+    return joined.withColumn("session", F.floor(F.col("ts") / (24 * HOUR)).cast("int"))
+
+
+COLUMNS = ["aggr_delta_ratio_s", "book_imbalance_near", "mlofi_near_s", "price_progress_ticks_m", "trade_burst_intensity_s"]
+
+
+@query("model_a_gate")
+def model_a_gate(spark, sf_dir):
+    from tapeflow.operators import model
+
+    rows = model_rows(spark, sf_dir).select("session", "direction", "final_return", *COLUMNS)
+    border = rows.agg(F.percentile("session", F.lit(0.6))).first()[0]
+    train, test = rows.where(F.col("session") <= border), rows.where(F.col("session") > border + 1)
+    fitted = model.fit(train, COLUMNS, "direction", trees=3, depth=3)
+    return V.gate(model.predict(test, fitted).select("session", F.col("direction").alias("label"), "p0", "p1", "p2", F.col("final_return").alias("ret"), F.lit(False).alias("tagged"), *(F.lit(x).alias(f"train_p{i}") for i, x in enumerate(fitted.frequencies))))
+
+
+@query("sign_diagnostic")
+def sign_diagnostic(spark, sf_dir):
+    from tapeflow.operators import model
+
+    rows = model_rows(spark, sf_dir).where("direction > 0").select("session", F.when(F.col("direction") == 1, 1).otherwise(0).alias("up"), *COLUMNS)
+    if not rows.limit(1).count():
+        return spark.createDataFrame([(None,)], "auc double")
+    fitted = model.fit(rows, COLUMNS, "up", classes=2, trees=3, depth=3)
+    return V.rank_auc(model.predict(rows, fitted).select(F.col("p1").alias("s"), (F.col("up") == 1).alias("y")), "s", "y")
+
+
+@query("feature_importance")
+def feature_importance(spark, sf_dir):
+    from tapeflow.operators import model
+
+    rows = model_rows(spark, sf_dir).select("direction", *COLUMNS)
+    return model.importance(model.fit(rows, COLUMNS, "direction", trees=3, depth=3))
