@@ -60,12 +60,17 @@ def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
     return np.array(step, dtype=np.int32)
 
 
+def letters(word: str) -> str:
+    """The letters of a word: marks and digits tell no language, and would favour a sample that happens to hold them."""
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+
+
 class Model:
     """languages, the code of each character (0: blank, 1: any other), all automata in one table, their starts and sizes."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        texts = {k: " " + " ".join(v.lower().split()) + " " for k, v in samples.items()}
+        texts = {k: " " + " ".join(filter(None, map(letters, v.lower().split()))) + " " for k, v in samples.items()}
         counts: dict[str, int] = {}
         for t in texts.values():
             for ch in t:
@@ -87,9 +92,10 @@ class Model:
         self.weight = np.log2(np.array(self.size, dtype=np.float64))
 
     def phrases(self, words: list[str]) -> np.ndarray:
-        """(words, languages) phrase counts of lower-case words."""
+        """(words, languages) phrase counts of the letters of lower-case words; 0 for a word without any."""
         out = np.zeros((len(words), len(self.languages)), dtype=np.int32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        words = list(map(letters, words))
+        order = sorted((i for i, w in enumerate(words) if w), key=lambda i: len(words[i]))
         for a in range(0, len(order), 4096):
             some = order[a : a + 4096]
             code, longest = self.code.get, len(words[some[-1]]) + 2
