@@ -1,0 +1,159 @@
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tapeflow.llm import bloom, licenses, pii, quality_rules, url_filters
+from tests.llm.helpers import DOCS, awkward, documents, empty, rng, words
+
+KINDS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in KINDS:
+        for m in re.finditer(pattern, text or ""):
+            g, n = m.group(), re.sub("[^0-9]", "", m.group())
+            if kind == "email" or kind == "ip" and all(int(x) < 256 for x in g.split(".")) or kind == "card" and 13 <= len(n) <= 19 and luhn(n) or kind == "phone" and 9 <= len(n) <= 15:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+HARD = [
+    "a@b.c_d@e.fr 1.2.3.4.5.6.7.8 300.1.1.1 001.2.3.0004 x@y..z a@b.c@d.e", "4111 1111-1111 1111 then 4111111111111112 and 12345678901234567890123", "+1 (222) 333-4444 +12 +49.30.1234567- +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6",
+    "é" * 10 + "1.2.3.4" + "😀 a.b@c.de", "a" * 30_000 + " @", "1" * 3000 + ".1.1.1 " + "+5" + " " * 3000, "@@a@b.c", "GB82 WEST 1234 5698 7654 32 and DE89370400440532013000 not DE89370400440532013001",
+]
+
+
+def test_pii_spans_match_brute_force(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(HARD)], "doc_id long, text string").unionByName(awkward(spark).select("doc_id", "text"))
+    got = pii.digest(pii.find_pii(df.withColumn("_email", F.lit("clash")))).collect()
+    texts = [r["text"] for r in df.collect()]
+    want = sorted((hashlib.sha256(",".join(base_spans(t)).encode()).hexdigest(), *(sum(s.startswith(k) for s in base_spans(t)) for k, _ in KINDS)) for t in texts)
+    assert sorted((r["base_sha256"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in got) == want
+    assert [r["n_iban"] for r in got if r["doc_id"] == 7 and r["n_iban"]] == [2]
+    assert pii.digest(pii.find_pii(empty(spark))).count() == 0
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("a1.@+- (é5", max_size=40), min_size=5, max_size=30))
+def test_pii_random_texts(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.digest(pii.find_pii(df)).collect():
+        assert r["base_sha256"] == hashlib.sha256(",".join(base_spans(texts[r["doc_id"]])).encode()).hexdigest(), texts[r["doc_id"]]
+
+
+def test_masking(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cd now 10.0.0.1", "en", "s", 24), (2, "clean", None, None, 5), (3, None, "en", "s", None)], DOCS)
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.mask(df).collect()}
+    assert out == {1: ("mail [email] now [ip]", 21), 2: ("clean", 5), 3: (None, None)} and pii.mask(df).columns == df.columns
+
+
+def stats(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n, c = len(w), Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {j for i in range(n - 2) if c[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts_match_brute_force(spark):
+    g = rng(2)
+    texts = ["a b c a b c", "x x x x", "one\ntwo\none\n\n \none", "# $|<>&", "\x0b\x0ca\x1cb c", *(" ".join(words(g, g.randint(1, 60), "ab")) for _ in range(40))]
+    df = spark.createDataFrame(documents(texts), DOCS).unionByName(awkward(spark))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for r in quality_rules.with_stats(df.withColumn("n_words", F.lit("clash"))).collect():
+        assert tuple(r[n] for n in names) == stats(r["text"])
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+
+
+def test_outliers_go_and_clean_documents_stay(spark):
+    g = rng(4)
+    clean = [". ".join(" ".join(words(g, 12)) for _ in range(g.randint(6, 12))) for _ in range(300)]
+    junk = [" ".join(w + "###" for w in words(g, 90)) for _ in range(20)] + [" ".join(w.upper() + "!!" for w in words(g, 90)) for _ in range(20)]
+    rows = documents(clean + junk)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] for i in range(300)) and not any(got[i] for i in range(300, 340))
+    kept = quality_rules.keep(spark.createDataFrame(rows, DOCS))
+    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")] and {r["doc_id"] for r in kept.collect()} == set(range(300))
+
+
+def test_quality_awkward_rows(spark):
+    got = quality_rules.quality(awkward(spark)).collect()
+    assert len(got) == 12 and all(r["base_failed"] and not r["kept"] for r in got if r["doc_id"] in (1, 2, 3, 4))
+    assert quality_rules.quality(empty(spark)).count() == 0
+
+
+def test_chi_square_constants():
+    assert quality_rules.chi2_quantile(0.95, 6) == pytest.approx(12.5916, abs=1e-3) and 1.3 < quality_rules.CONSISTENCY < 1.4
+
+
+def verdict(url, listed):
+    u = url or ""
+    host, path = "", ""
+    if "://" in u:
+        rest = u.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = []
+    for v, r in url_filters.RULES:
+        h, p = r.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
+            fits.append((len(r), r, v))
+    if fits:
+        return host, path, max(fits)[1], max(fits)[2]
+    return host, path, None, "block" if host and host + path.rstrip("/") in listed else "allow"
+
+
+URLS = ["http://a.NET/x", "https://net", "x://example.net/en/1?q#f", "http://sub.example.com/de/", "http://example.com/dex", "http://ORG/fr/", "http://notnet/", "http://x.org/fr", "no scheme", None, "", "http://", "a://b://c/d", "http://é.net/", "http://u@h.net:80/p", "http://listed.io/a/", "http://listed.io/a", "http://listed.io/b", "http://a.net#x"]
+
+
+def test_urls_match_brute_force(spark):
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(None, URLS[0], "y"), (0, URLS[0], None)], "page_id long, url string, rule string")
+    listed = spark.createDataFrame([("listed.io/a",), ("listed.io/a",), (None,), ("other",)], "key string")
+    out = url_filters.filter_urls(pages, listed=listed)
+    assert out.count() == len(URLS) + 2
+    for r in out.collect():
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == verdict(r["url"], {"listed.io/a"})
+    assert url_filters.filter_urls(pages.where("false"), listed=listed.where("false")).count() == 0
+
+
+def test_bloom_filter_has_no_false_negatives_and_few_positives(spark):
+    keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("k"))
+    words_ = bloom.size(5000)
+    bits = bloom.build(keys, "k", words_).first()["bits"]
+    assert len(bits) == words_
+    probe = spark.range(20_000).select("id", F.concat(F.lit("k"), "id").alias("k")).withColumn("bits", F.array(*map(F.lit, bits)))
+    hits = {r["id"] for r in probe.where(bloom.may_contain(F.col("bits"), words_, F.col("k"))).select("id").collect()}
+    assert set(range(5000)) <= hits and len(hits) < 5000 + 15_000 * 0.05
+    assert bloom.size(10**12) == bloom.MOST_WORDS
+
+
+def test_license_inheritance(spark):
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    rows = [
+        (1, "a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software under the MIT License"), (2, "a/b/c/x.py", "code"), (3, "a/b/notice.txt", gpl + "\nmore"), (4, "a/b/y.py", "code\n" + gpl), (5, "z/q.py", "x"),
+        (6, "a/b/d/e.py", None), (7, None, "code"), (8, "top.txt", ""), (2, "a/b/c/x.py", "code"), (9, "a/b/c", "the licence of a driver"),
+    ]
+    got = sorted((r["doc_id"], r["own_license"], r["license"], r["inherited_from"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect())
+    assert got == [
+        (1, "MIT", "MIT", None), (2, None, "GPL-3.0", "a/b"), (2, None, "GPL-3.0", "a/b"), (3, "GPL-3.0", "GPL-3.0", None), (4, "GPL-3.0", "GPL-3.0", None), (5, None, None, None), (6, None, "GPL-3.0", "a/b"), (7, None, None, None), (8, None, None, None), (9, None, "GPL-3.0", "a/b"),
+    ]
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+    docs = awkward(spark)
+    assert licenses.scan(docs.select("doc_id", licenses.document_path().alias("path"), "text")).count() == 12
+
+
+def test_templates_name_themselves():
+    m = licenses.Matcher({}, 0)
+    assert all(m.best(text)[0] == name for name, text in licenses.TEMPLATES.items())
