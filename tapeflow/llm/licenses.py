@@ -1,8 +1,10 @@
 """License scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
 Every line of the whole text that holds a licence word is a notice, joined with the lines right after it as long as they
-continue it. Its terms are weighted by tf-idf and compared with the templates' vectors; only terms of the templates
-count for the product, all terms count for the length. Document frequencies come from all notices of the corpus, and
+continue it. A notice is scored by the best of its parts (its first lines, one to all, and its sentences) against the
+best of a licence's templates: header, short sentences, SPDX ids and openings of licence files. Terms are weighted by
+tf-idf; only terms of the templates count for the product, all terms count for the length. A short template counts only
+where its telling terms (name and version) are all there. Document frequencies come from all notices of the corpus, and
 only those of template terms (a fixed vocabulary) are gathered. A file without a licence of its own inherits that of the
 nearest directory above it that has a licence file, by joins on directory paths.
 """
@@ -34,15 +36,59 @@ TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software under the MIT License, to deal in the Software without restriction",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_HEADER = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version"
+_FILE = "GNU {0}GENERAL PUBLIC LICENSE Version {1}, Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"
+
+
+def _short(name: str, *ids: str) -> tuple[str, ...]:
+    return (f"Licensed under the {name}", f"Released under the {name}", f"This work is licensed under the {name}", *(x.format(i) for i in ids for x in ("Licensed under {0}", "Licensed under the {0} license", "SPDX-License-Identifier: {0}")))
+
+
+def _gnu(kind: str, short: str, n: int) -> tuple[str, ...]:
+    name = f"GNU {kind}General Public License"
+    return (*_short(f"{name}, version {n}", f"{short}-{n}.0", f"{short}v{n}"), f"SPDX-License-Identifier: {short}-{n}.0-only", f"SPDX-License-Identifier: {short}-{n}.0-or-later", _HEADER.format(kind, n), _FILE.format(kind, n))
+
+
+#: The other forms of a notice: a licence's score is the best over its template and these.
+VARIANTS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": (*_short("Apache License, Version 2.0", "Apache-2.0"), "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    "BSD-3-Clause": _short("BSD 3-Clause License", "BSD-3-Clause"),
+    "CC0-1.0": _short("CC0 1.0 Universal Public Domain Dedication", "CC0-1.0"),
+    **{f"CC-{k}-4.0": _short(f"Creative Commons {v} 4.0 International License", f"CC-{k}-4.0") for k, v in _CC.items()},
+    "GPL-2.0": _gnu("", "GPL", 2),
+    "GPL-3.0": _gnu("", "GPL", 3),
+    "ISC": _short("ISC License", "ISC"),
+    "LGPL-3.0": _gnu("Lesser ", "LGPL", 3),
+    "MIT": (*_short("MIT License", "MIT"), "MIT License Copyright (c)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    "MPL-2.0": _short("Mozilla Public License, v. 2.0", "MPL-2.0"),
+}
+#: Terms that tell no licence from another; of a template of at most SHORT terms all others must be in a notice.
+GENERIC = frozenset("a and c clause copyright general identifier international is license licensed of public released spdx the this under universal v version work".split())
+SHORT = 14
 TRIGGER = re.compile(r"licen[sc]e|copyright|redistribut|permission|public domain|spdx", re.IGNORECASE)
 LEAST_COSINE = 0.5
 #: A continued notice is at most this many lines; the next line begins a notice of its own if it has a licence word.
 LINES = 12
+_SPDX = re.compile(r"(?i)spdx-license-identifier:[^\S\n]*[^\s]+")
 _TERM = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)?")
 
 
 def terms(text: str) -> Counter:
-    return Counter(_TERM.findall(text.lower()))
+    """Words and numbers with their counts; a number's ``.0`` goes, so that version 2 is 2.0."""
+    return Counter(t.removesuffix(".0") for t in _TERM.findall(text.lower()))
+
+
+def forms(templates: dict[str, str], variants: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
+    """(name, text) of every template and variant, by name."""
+    return sorted({*templates.items(), *((name, text) for name, texts in variants.items() for text in texts)})
+
+
+def parts(notice: str) -> list[str]:
+    """The first line, the first two, and so on to the whole notice; and its sentences that hold a licence word and SPDX tags."""
+    lines = notice.split("\n")
+    sentences = [s for line in lines for s in re.split(r"(?<=[.:;!?])\s+", line) if TRIGGER.search(s)]
+    return list(dict.fromkeys(["\n".join(lines[: i + 1]) for i in range(len(lines))] + sentences + _SPDX.findall(notice)))
 
 
 def notices(text: str | None) -> list[str]:
@@ -56,7 +102,7 @@ def notices(text: str | None) -> list[str]:
             while i + 1 < len(lines) and len(part) < LINES and not part[-1].rstrip().endswith((".", ":")):
                 i += 1
                 part.append(lines[i])
-            out.append(" ".join(part))
+            out.append("\n".join(part))
         i += 1
     return out
 
@@ -64,30 +110,42 @@ def notices(text: str | None) -> list[str]:
 class Matcher:
     """Cosines to the templates under document frequencies ``df`` among ``n`` notices (add-one smoothed)."""
 
-    def __init__(self, df: dict[str, int], n: int, templates: dict[str, str] = TEMPLATES):
-        self.idf = lambda t: math.log((1 + n + len(templates)) / (1 + df.get(t, 0) + own[t])) + 1
-        own = Counter(t for text in templates.values() for t in terms(text))
-        self.vectors = {}
-        for name, text in sorted(templates.items()):
+    def __init__(self, df: dict[str, int], n: int, templates: dict[str, str] = TEMPLATES, variants: dict[str, tuple[str, ...]] = VARIANTS):
+        every = forms(templates, variants)
+        self.idf = lambda t: math.log((1 + n + len(every)) / (1 + df.get(t, 0) + own[t])) + 1
+        own = Counter(t for _, text in every for t in terms(text).keys())
+        self.vectors = []
+        for name, text in every:
             v = {t: (1 + math.log(c)) * self.idf(t) for t, c in terms(text).items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
-            self.vectors[name] = {t: x / norm for t, x in v.items()}
+            needs = v.keys() - GENERIC if len(v) <= SHORT else frozenset()
+            self.vectors.append((name, {t: x / norm for t, x in v.items()}, needs))
 
     def best(self, text: str) -> tuple[str | None, float]:
-        """The nearest template and its cosine; ties go to the name first in order."""
+        """The nearest licence and the cosine of its nearest template; ties go to the name first in order."""
+        found: tuple[str | None, float] = (None, 0.0)
+        for part in parts(text):
+            near = self._nearest(part)
+            if near[1] > found[1] + 1e-12:
+                found = near
+        return found
+
+    def _nearest(self, text: str) -> tuple[str | None, float]:
         v = {t: (1 + math.log(c)) * self.idf(t) for t, c in terms(text).items()}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         found: tuple[str | None, float] = (None, 0.0)
-        for name, w in self.vectors.items():
+        for name, w, needs in self.vectors:
+            if not needs <= v.keys():
+                continue
             s = sum(x * w[t] for t, x in v.items() if t in w) / norm
             if s > found[1] + 1e-12:
                 found = (name, s)
         return found
 
 
-def _frequencies(docs: DataFrame, templates: dict[str, str]) -> tuple[dict[str, int], int]:
+def _frequencies(docs: DataFrame, templates: dict[str, str], variants: dict[str, tuple[str, ...]]) -> tuple[dict[str, int], int]:
     """Notices of the whole corpus, and how many hold each template term."""
-    known = {t for text in templates.values() for t in terms(text)}
+    known = {t for _, text in forms(templates, variants) for t in terms(text)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
@@ -102,16 +160,16 @@ def _frequencies(docs: DataFrame, templates: dict[str, str]) -> tuple[dict[str,
     return found, found.pop("", 0)
 
 
-def own_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
+def own_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COSINE, variants: dict[str, tuple[str, ...]] = VARIANTS) -> DataFrame:
     """docs(doc_id, path, text) -> doc_id, path, own_license, cosine, license_file: a row for each row.
 
     own_license is null (cosine 0) for a null or empty text and where no notice comes near enough; of several notices
     the nearest counts. license_file: the text begins with such a notice, or the file is named as a licence.
     """
-    df, n = _frequencies(docs, templates)
+    df, n = _frequencies(docs, templates, variants)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(df, n, templates)
+        matcher = Matcher(df, n, templates, variants)
         for batch in slices(batches, "text"):
             name, cosine, first = [], [], []
             for text, path in zip(batch.column("text").to_pylist(), batch.column("path").to_pylist()):

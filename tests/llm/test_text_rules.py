@@ -157,3 +157,22 @@ def test_license_inheritance(spark):
 def test_templates_name_themselves():
     m = licenses.Matcher({}, 0)
     assert all(m.best(text)[0] == name for name, text in licenses.TEMPLATES.items())
+
+
+LINES = {
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "the licence of a driver": None, "License.": None, "Licensed under the Apache License, Version 1.1.": None,
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "GPL-3.0",
+}
+
+
+def test_every_kind_of_notice_is_found(spark):
+    # Each alone, before code without a full stop, and inside a long line.
+    around = ["{0}", "{0}\n" + "\n".join(f"x{i} = call(y{i})" for i in range(20)), "Prose of many other words goes here. {0} And more of it follows right after."]
+    rows = [(i * 10 + j, f"f{i}/{j}/x", a.format(t)) for i, t in enumerate(LINES) for j, a in enumerate(around)]
+    got = {r["doc_id"]: r["own_license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {i * 10 + j: want for i, want in enumerate(LINES.values()) for j in range(3)}
+    # One kind alone in a corpus: its terms are common there.
+    alike = [(i, f"g{i}/x", "Released under the MIT License.") for i in range(200)] + [(200, "h/x", "License."), (201, "i/x", "any license")]
+    got = {r["doc_id"]: r["own_license"] for r in licenses.scan(spark.createDataFrame(alike, "doc_id long, path string, text string")).collect()}
+    assert all(got[i] == "MIT" for i in range(200)) and got[200] is None and got[201] is None
