@@ -22,8 +22,10 @@ from pyspark.sql.window import Window
 
 from tapeflow.llm.common import Scratch, slices
 
-#: The sample: documents and characters of a language at most, languages at most, distinct characters at most.
+#: The sample: documents and characters of a language at most, languages at most; distinct characters at most.
 DOCS, CHARS, LANGUAGES, ALPHABET = 60, 24_000, 200, 96
+#: A passage: so many characters of a text, taken at any place of it.
+PASSAGE = 400
 REMEMBERED = 300_000
 #: A document of the pipeline goes if its winner's lead over the next language is below this share.
 LEAST_SCORE = 0.05
@@ -132,7 +134,8 @@ class Model:
 
 
 def sample(docs: DataFrame, scratch: Scratch, learn) -> dict[str, str]:
-    """A bounded sample for each language: the documents with the smallest hashes of their ids among those of ``learn``."""
+    """A bounded sample for each language: passages at hashed places of the documents with the smallest hashes of their
+    ids among those of ``learn``."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     keys = labelled.select("doc_id", "lang").withColumn("_h", F.xxhash64("doc_id", F.lit("sample")))
     counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
@@ -143,12 +146,18 @@ def sample(docs: DataFrame, scratch: Scratch, learn) -> dict[str, str]:
     first = few.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= DOCS)
     chosen = scratch.cut(first.select("doc_id", "lang", "_r"))
     # At most DOCS x LANGUAGES ids: a bounded side.
-    rows = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "_r", F.substring("text", 1, CHARS // DOCS).alias("text")).orderBy("lang", "_r").collect()
+    rows = labelled.join(F.broadcast(chosen), ["doc_id", "lang"])
+    # Of each whole text the passages with the smallest hashes, as many as fill the budget; every passage counts once in
+    # a language, so that a common header takes no more room than any other. Texts give theirs in turn.
+    passages = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0)))
+    some = F.slice(F.array_sort(F.transform(passages, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("text")))), 1, CHARS // PASSAGE)
+    each = rows.select("lang", "_r", F.posexplode(some).alias("_turn", "_p")).select("lang", "_r", "_turn", "_p.h", "_p.text")
+    once = each.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "h").orderBy("_turn", "_r"))).where("_n = 1")
+    upto = F.sum(F.length("text") + 1).over(Window.partitionBy("lang").orderBy("_turn", "_r", "h").rowsBetween(Window.unboundedPreceding, -1))
+    filled = once.withColumn("_at", F.coalesce(upto, F.lit(0))).where(F.col("_at") < CHARS)
     out: dict[str, str] = {}
-    for r in rows:
-        have = out.get(r["lang"], "")
-        if len(have) < CHARS:
-            out[r["lang"]] = (have + " " + r["text"])[:CHARS]
+    for r in filled.select("lang", "_at", "text").orderBy("lang", "_at").collect():
+        out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:CHARS]
     return out
 
 

@@ -71,6 +71,16 @@ def test_language_awkward_rows(spark):
     assert language_id.predict(empty(spark), model).count() == 0
 
 
+def test_language_with_a_common_header(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 50")
+    header = (docs.where("lang = 'en' and n_chars > 900").orderBy("doc_id").first()["text"] * 2)[:800]
+    german = F.col("lang") == "de"
+    headed = docs.withColumn("text", F.when(german, F.concat(F.lit(header + " "), "text")).otherwise(F.col("text")))
+    held = held_out("doc_id", 3, 1)
+    got = language_id.predict(docs.where(held & german), language_id.train(headed, ~held)).collect()
+    assert np.mean([r["lang_pred"] == "de" for r in got]) > 0.95
+
+
 def test_classifier_held_out_accuracy(spark):
     out = queries.op7_quality_classifier(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
     assert np.mean([r["quality"] == r["predicted"] for r in out]) > 0.97
