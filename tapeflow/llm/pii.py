@@ -18,14 +18,24 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
-SECRET = r"(?:password|passwd|secret|api_key|token)\x20{0,2}[=:]\x20{0,2}\"?[A-Za-z0-9_-]{16,64}+"
+#: The head of an IBAN; where it ends is settled by ``_iban_at``, so that nothing after it is swallowed.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+SECRET = r"(?i:password|passwd|secret|api_key|token)\x20{0,2}[=:]\x20{0,2}\"?[A-Za-z0-9_-]{16,64}+"
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "secret")
 KINDS = BASE + ADDED
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "secret": SECRET}
+#: Characters of an IBAN by country, as registered; other countries may have any length from 15 to 34.
+IBAN_LENGTHS = {
+    country: int(n)
+    for n, countries in (x.split(":") for x in (
+        "15:NO|16:BE|18:DK FI FK FO GL NL SD|19:MK SI|20:AT BA EE KZ LT LU MN XK|21:CH HR LI LV|22:BG BH CR DE GB GE IE ME RS VA|23:AE GI IL IQ OM SO TL|24:AD CZ ES MD PK RO SA SE SK TN VG|25:LY PT ST"
+        "|26:IS TR|27:BI DJ FR GR IT MC MR SM|28:AL AZ BY CY DO GT HN HU LB NI PL SV|29:BR EG PS QA UA|30:JO KW MU YE|31:MT SC|32:LC|33:RU"
+    ).split("|"))
+    for country in countries.split()
+}
 #: A cheap test that any text with a span of the kind passes; texts that fail it skip the kind's patterns.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]{11}", "secret": r"(?:password|passwd|secret|api_key|token)\x20{0,2}[=:]"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]{11}", "secret": r"(?i:password|passwd|secret|api_key|token)\x20{0,2}[=:]"}
 #: Words near a span that raise its score.
 CONTEXT = {"email": r"(?i)e-?mail|contact|write|@", "ip": r"(?i)\bip\b|host|server|address", "card": r"(?i)card|visa|credit|payment", "phone": r"(?i)phone|tel|call|mobile|fax", "iban": r"(?i)iban|account|bank", "secret": r"(?i)password|token|secret|key"}
 #: Score of a span whose pattern and checksum hold, without context words, and with them.
@@ -60,11 +70,38 @@ def _valid(kind: str, m: Column) -> Column:
         return n.between(13, 19) & F.when(n.between(13, 19), luhn(_digits(m))).otherwise(False)
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
-    if kind == "iban":
-        return F.length(F.regexp_replace(m, " ", "")).between(15, 34) & mod97(m)
     return F.lit(True)
 
 
+def _iban_at(s: Column) -> Column:
+    """The IBAN that ``s`` begins with, null if there is none: of the ends before a blank or a mark those of the
+    country's length that pass mod 97, and of several the last."""
+    most = F.regexp_extract(s, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0)
+    groups = F.split(most, " ")
+    ends = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
+    lengths = F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair))
+
+    def passes(m: Column) -> Column:
+        n = F.length(F.regexp_replace(m, " ", ""))
+        fits = n.between(15, 34) & (n == F.coalesce(F.try_element_at(lengths, F.substring(m, 1, 2)), n))
+        return F.when(fits, mod97(m)).otherwise(False)
+
+    return F.try_element_at(F.filter(ends, passes), F.lit(-1))
+
+
+def _ibans(heads: Column, text: Column) -> Column:
+    """The spans of heads made whole; heads without an IBAN, and those inside the one before, are dropped."""
+    whole = F.transform(heads, lambda s: F.struct(s["start"].alias("start"), _iban_at(F.substring(text, s["start"] + 1, F.lit(68))).alias("m")))
+    start = F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>")
+
+    def step(a: Column, s: Column) -> Column:
+        span = F.struct(F.lit("iban").alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["m"])).alias("end"), s["m"].alias("match"))
+        inside = F.coalesce(F.try_element_at(a, F.lit(-1))["end"] > s["start"], F.lit(False))
+        return F.when(inside, a).otherwise(F.concat(a, F.array(span)))
+
+    return F.aggregate(F.filter(whole, lambda s: s["m"].isNotNull()), start, step)
+
+
 def _spans(kind: str, text: Column) -> Column:
     """array<struct<kind,start,end>> of the matches that their validator confirms, by start."""
     none = F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>")
@@ -80,7 +117,8 @@ def _spans(kind: str, text: Column) -> Column:
 
     every = F.aggregate(pairs, start, step, lambda a: a["out"])
     needed = text.contains(NEEDS[kind]) if kind == "email" else text.rlike(NEEDS[kind])
-    return F.when(needed, F.filter(every, lambda s: _valid(kind, s["match"]))).otherwise(none)
+    valid = _ibans(every, text) if kind == "iban" else F.filter(every, lambda s: _valid(kind, s["match"]))
+    return F.when(needed, valid).otherwise(none)
 
 
 def _scored(kind: str, spans: Column, text: Column) -> Column:
@@ -102,7 +140,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_email`` .. ``_secret``: array<struct<kind,start,end,score>> in code points, end exclusive, by start.
 
     A null or empty text has no spans. A proposal that its validator refuses is dropped and nothing is retried inside
-    it. The context words near a span raise its score and never remove a span that a checksum confirmed. All columns
+    it; an IBAN, whose blanks may go on into the next word, is tried at every end. The context words near a span raise its score and never remove a span that a checksum confirmed. All columns
     of ``docs`` stay; its columns of the added names are replaced.
     """
     docs = docs.drop(*(f"_{k}" for k in KINDS))

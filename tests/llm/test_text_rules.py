@@ -51,6 +51,21 @@ def test_pii_random_texts(spark, texts):
         assert r["base_sha256"] == hashlib.sha256(",".join(base_spans(texts[r["doc_id"]])).encode()).hexdigest(), texts[r["doc_id"]]
 
 
+def test_ibans_before_words_and_numbers(spark):
+    whole, blanks, gb, no = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    cases = [(f"{i}{after}", [i]) for i in (whole, blanks, gb, no) for after in ("", " Please", " Amount due", " 2500 EUR", " BIC X", ". X", " A1")]
+    cases += [(f"{whole} {gb} {no} and", [whole, gb, no]), (f"x {gb} AB12 {blanks} X", [gb, blanks]), ("DE89370400440532013001 Please", []), (whole + "1", []), ("X" + whole, []), ("😀é " + blanks + " Ab", [blanks])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        text, want = cases[r["doc_id"]]
+        assert [text[s["start"] : s["end"]] for s in r["_iban"]] == want, text
+
+
+def test_secrets_in_any_case(spark):
+    df = spark.createDataFrame([(i, f'x {k} = "9233A8B0C1D2E3F4A5"') for i, k in enumerate(("token", "TOKEN", "Password", "API_KEY"))], "doc_id long, text string")
+    assert [r["n_secret"] for r in pii.digest(pii.find_pii(df)).collect()] == [1] * 4
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, "mail a@b.cd now 10.0.0.1", "en", "s", 24), (2, "clean", None, None, 5), (3, None, "en", "s", None)], DOCS)
     out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.mask(df).collect()}
