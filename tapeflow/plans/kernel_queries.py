@@ -260,34 +260,77 @@ def model_rows(spark, sf_dir):
     return joined.withColumn("session", F.floor(F.col("ts") / (24 * HOUR)).cast("int"))
 
 
-COLUMNS = ["aggr_delta_ratio_s", "book_imbalance_near", "mlofi_near_s", "price_progress_ticks_m", "trade_burst_intensity_s"]
+#: All features but the absolute price; the last twenty carry a sign (the reference's signed_v2).
+COLUMNS = [n for n, _ in X.formulas(SPEC) if n != "mid_ticks"]
+SIGNED = COLUMNS[COLUMNS.index("liquidity_age_imbalance") :]
+FEATURE_SETS = {"v1": [c for c in COLUMNS if c not in SIGNED], "v1 + signed_v2": COLUMNS, "signed_v2 only": SIGNED}
+#: Training windows of the gate as shares of the training sessions, the latest ones (a year, three years and all of about six and a half).
+WINDOWS = {"12m": 0.15, "3y": 0.45, "full": 1.0}
+
+
+def held_out_sessions(rows):
+    """(training rows, held-out rows): the last two fifths of the sessions are held out, rows whose label reaches into them are purged."""
+    border = rows.agg(F.percentile("session", F.lit(0.6))).first()[0]
+    train, test = rows.where(F.col("session") <= border), rows.where(F.col("session") > border)
+    start = test.agg(F.min("ts")).first()[0]
+    return (train if start is None else V.purge(train, start)), test
+
+
+def split_rows(spark, sf_dir):
+    """model_rows with the label's end, kept for many fits; unpersist when done."""
+    rows = model_rows(spark, sf_dir).withColumn("label_end_ts", (F.col("u") + 7) * HOUR)
+    return rows.select("instrument_id", "row_seq", "ts", "label_end_ts", "session", "direction", "final_return", *COLUMNS).persist()
 
 
 @query("model_a_gate")
 def model_a_gate(spark, sf_dir):
+    """A verdict row for each training window, without and with uniqueness weights, on the same held-out sessions."""
     from tapeflow.operators import model
 
-    rows = model_rows(spark, sf_dir).select("session", "direction", "final_return", *COLUMNS)
-    border = rows.agg(F.percentile("session", F.lit(0.6))).first()[0]
-    train, test = rows.where(F.col("session") <= border), rows.where(F.col("session") > border + 1)
-    fitted = model.fit(train, COLUMNS, "direction", trees=3, depth=3)
-    return V.gate(model.predict(test, fitted).select("session", F.col("direction").alias("label"), "p0", "p1", "p2", F.col("final_return").alias("ret"), F.lit(False).alias("tagged"), *(F.lit(x).alias(f"train_p{i}") for i, x in enumerate(fitted.frequencies))))
+    rows = split_rows(spark, sf_dir)
+    train, test = held_out_sessions(rows)
+    ends = train.agg(F.min("session").alias("a"), F.max("session").alias("z")).first()
+    out = []
+    for name, share in WINDOWS.items():
+        if ends["z"] is None or not test.limit(1).count():
+            break
+        part = train.where(F.col("session") > ends["z"] - (ends["z"] - ends["a"] + 1) * share)
+        part = samples.uniqueness(part.withColumn("trainable", F.col("direction").isNotNull()), KEYS, 6, HOUR).persist()
+        for weight in (None, "uniqueness"):
+            fitted = model.fit(part, COLUMNS, "direction", weight=weight)
+            scored = model.predict(test, fitted).select("session", F.col("direction").alias("label"), "p0", "p1", "p2", F.col("final_return").alias("ret"), F.lit(False).alias("tagged"), *(F.lit(x).alias(f"train_p{i}") for i, x in enumerate(fitted.frequencies)))
+            out.append({"train_window": name, "weighted": weight is not None, **V.gate(scored).first().asDict()})
+        part.unpersist()
+    rows.unpersist()
+    money = "sessions long, trades long, expectancy double, without_best double, without_tagged double"
+    schema = f"train_window string, weighted boolean, {money}, auc_1 double, auc_2 double, brier double, base_brier double, auc double, passed boolean"
+    return spark.createDataFrame(out, schema)
 
 
 @query("sign_diagnostic")
 def sign_diagnostic(spark, sf_dir):
+    """The area for up against down, given a move, on held-out sessions: a row for each feature set."""
     from tapeflow.operators import model
 
-    rows = model_rows(spark, sf_dir).where("direction > 0").select("session", F.when(F.col("direction") == 1, 1).otherwise(0).alias("up"), *COLUMNS)
-    if not rows.limit(1).count():
-        return spark.createDataFrame([(None,)], "auc double")
-    fitted = model.fit(rows, COLUMNS, "up", classes=2, trees=3, depth=3)
-    return V.rank_auc(model.predict(rows, fitted).select(F.col("p1").alias("s"), (F.col("up") == 1).alias("y")), "s", "y")
+    rows = split_rows(spark, sf_dir)
+    train, test = (x.where("direction > 0").withColumn("up", F.when(F.col("direction") == 1, 1).otherwise(0)) for x in held_out_sessions(rows))
+    out = []
+    for name, columns in FEATURE_SETS.items():
+        auc = None
+        if train.limit(1).count() and test.limit(1).count():
+            scored = model.predict(test, model.fit(train, columns, "up", classes=2))
+            auc = V.rank_auc(scored.select(F.col("p1").alias("s"), (F.col("up") == 1).alias("y")), "s", "y").first()["auc"]
+        out.append((name, len(columns), auc))
+    rows.unpersist()
+    return spark.createDataFrame(out, "feature_set string, features int, auc double")
 
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
+    """Importance of every feature in the model of the training sessions."""
     from tapeflow.operators import model
 
-    rows = model_rows(spark, sf_dir).select("direction", *COLUMNS)
-    return model.importance(model.fit(rows, COLUMNS, "direction", trees=3, depth=3))
+    rows = split_rows(spark, sf_dir)
+    out = model.importance(model.fit(held_out_sessions(rows)[0], COLUMNS, "direction"))
+    rows.unpersist()
+    return out
