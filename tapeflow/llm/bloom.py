@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS_PER_KEY = 16
-#: Words of the filter at most (1 MB). Beyond it more keys pass to the exact join; results stay the same.
-MOST_WORDS = 1 << 17
+#: Words of the filter at most: 16 MB, the bound of what is broadcast. It holds 8 million keys at 16 bits a key; twice as
+#: many get 8 bits each, and so on. A thinner filter lets more rows into the exact join, which alone decides.
+MOST_WORDS = 1 << 21
 
 
 def _mask(key: Column) -> Column:

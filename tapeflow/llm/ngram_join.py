@@ -1,20 +1,24 @@
 """Similarity self-join of texts on word n-grams by chosen paths, with exact links.
 
-1. Every text becomes its set of word-shingle hashes. Equal sets form one class; the smallest id stands for it.
+1. Every text becomes its set of word-shingle hashes. Equal sets are one node, whatever their ids; nodes have numbers of
+   their own, so different texts under one id are different nodes.
 2. A chosen-path join over the classes finds families. A set is embedded as T min-hash coordinates. At a node of the
    path tree every coordinate is chosen with probability 1 / (threshold * T), by a hash of the run and the path, and
    the node's sets fall into one child bucket for each value of each chosen coordinate. So two sets of similarity s
    share s / threshold children on average: at the threshold or above they keep a common path with a chance that falls
    only slowly with depth, below it they part at a geometric rate. Buckets of at most ``LEAF`` sets are searched by
    brute force over sketches; larger ones branch again, to ``DEPTH`` levels, and what is large still is cut into blocks
-   of which each pair is searched. Runs repeat until a pair at the threshold is found with ``RECALL``, also by its
-   sketch. Pairs are never written: a bucket yields a spanning forest.
+   of which each pair is searched. Only runs whose root chooses a coordinate count, and they repeat until a pair at the
+   threshold is found with ``RECALL``. Sketches hold the low byte of each coordinate: below the root different values
+   share a child with a chance of 1/256, which adds candidates and loses none. Pairs are never written: a bucket yields
+   a spanning forest.
 3. The families, connected components of those forests, get their texts back, and each pair of a family is settled
    on the true sets: intersections are products of 0/1 matrices. Families beyond a block's size split into blocks, and
    each pair of blocks is a task of bounded memory. A task yields link counts and a spanning forest per text.
 
 Defined results: null ids take no part (class null, no links, kept); null, empty and white-space texts have no shingles
-and link with nothing; rows that repeat an id share its class; a set's copies link with each other.
+and link with nothing; a set's copies link with each other, also under one id; rows that repeat an id with other texts
+are judged text by text.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeflow.llm import bloom
-from tapeflow.llm.common import Scratch, local_components, mix64, slices, sorted_groups
+from tapeflow.llm.common import Scratch, fresh, local_components, mix64, slices, sorted_groups
 from tapeflow.llm.components import components
 from tapeflow.llm.shingles import minhash, set_id, shingles
 
@@ -40,12 +44,15 @@ BLOCK, BLOCK_SHINGLES = 800, 400_000
 COLUMNS = 2048
 
 
-def survival(depth: int) -> float:
-    """Chance that a pair at the threshold shares a path of this length, as the number of shared children is Poisson of mean 1."""
+def survival(depth: int, threshold: float = float(THRESHOLD)) -> float:
+    """Chance that a pair at the threshold shares a path of this length in a run whose root chooses a coordinate.
+
+    Of T coordinates each is chosen with 1 / (threshold * T) and equal with ``threshold``, so 1 / T gives a shared child.
+    """
     p = 1.0
     for _ in range(depth):
-        p = 1 - math.exp(-p)
-    return p
+        p = 1 - (1 - p / T) ** T
+    return p / (1 - (1 - 1 / (threshold * T)) ** T)
 
 
 def runs(recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -62,10 +69,21 @@ def least_matches(threshold: Fraction = THRESHOLD, miss: float = 1e-3) -> int:
         k += 1
 
 
+def _set_ids(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([set_id(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+
+
+def _named(batches: Iterator[pa.RecordBatch], k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Appends the two halves of the set's name to whole rows."""
+    for batch in slices(batches, "text"):
+        ids = _set_ids(shingles(batch.column("text"), k))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[:, 0]), pa.array(ids[:, 1])], names=[*batch.schema.names, *names])
+
+
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         sets = shingles(batch.column("text"), k)
-        ids = np.array([set_id(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+        ids = _set_ids(sets)
         sig = minhash(sets, T)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(np.array([len(s) for s in sets], dtype=np.int64)), pa.array([x.tobytes() for x in sig], type=pa.binary())],
@@ -89,8 +107,10 @@ def _branches(key: np.ndarray, ids: np.ndarray, sketch: pa.Array) -> pa.RecordBa
 
 def _roots(batches: Iterator[pa.RecordBatch], n_runs: int, threshold: float) -> Iterator[pa.RecordBatch]:
     """The first level: all classes are in the root of every run. Sketches hold a byte of each coordinate."""
-    roots = mix64(np.arange(1, n_runs + 1, dtype=np.uint64))
-    picks = [_chosen(roots[r : r + 1], threshold)[1] for r in range(n_runs)]
+    roots = mix64(np.arange(1, 16 * n_runs + 1, dtype=np.uint64))
+    row, pick = _chosen(roots, threshold)
+    used = np.unique(row)[:n_runs]
+    roots, picks = roots[used], [pick[row == r] for r in used]
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, T)
         ids = np.asarray(batch.column("id"))
@@ -261,14 +281,9 @@ def _settle(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
         for part in group.to_batches():
             for x in slices([part], "text"):
                 sets += shingles(x.column("text"), k)
-        fit = np.arange(len(ids))
-        if len(np.unique(ids)) < len(ids):  # rows that repeat an id: one of those with the class's set
-            h1 = np.asarray(group.column("h1"))
-            fit = np.array([i for i in fit if set_id(sets[i])[0] == h1[i]], dtype=np.int64)
-            fit = fit[np.sort(np.unique(ids[fit], return_index=True)[1])]
-        one = fit[side[fit] == 0]
+        one = np.flatnonzero(side == 0)
         same = group.column("p")[0] == group.column("q")[0]
-        two = one if same else fit[side[fit] == 1]
+        two = one if same else np.flatnonzero(side == 1)
         if not len(one) or not len(two):
             continue
         left = [sets[i] for i in one]
@@ -285,7 +300,7 @@ def _settle(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> It
         i, j = np.nonzero(linked)
         root = local_components(len(ids), one[i], two[j])
         low = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(low, root, ids)
+        np.minimum.at(low, root, ids)  # of nodes
         some = np.flatnonzero(links)
         ids_out.append(ids[some])
         links_out.append(links[some])
@@ -317,55 +332,89 @@ def families(scratch: Scratch, points: DataFrame, threshold: Fraction = THRESHOL
     return components(scratch, found.unionByName(rest.mapInArrow(lambda b: _blocks(b, least), "u long, v long")))
 
 
-def ngram_join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """docs(doc_id long, text string) -> one row for each row: doc_id, n_links, class_id, kept, set_id.
-
-    n_links: other rows whose shingle sets have a Jaccard similarity of ``threshold`` or more. class_id: the smallest
-    doc_id reachable by links, the own one included. kept: doc_id = class_id. set_id: the smallest doc_id with an equal set.
-    """
-    scratch = Scratch(docs.sparkSession, "ngram-join")
+def _judged(docs: DataFrame, k: int, threshold: Fraction, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): a row's id, set name and number of shingles; a set's smallest id, copies, links, class and survivor."""
     docs = docs.select("doc_id", "text")
     signed = scratch.cut(docs.mapInArrow(lambda b: _signed(b, k), "doc_id long, h1 long, h2 long, n_set long, sig binary"))
     some = signed.where("n_set > 0 and doc_id is not null")
-    sets = scratch.cut(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n_set").alias("n_set")))
-    # Of different sets under one id (an id that repeats with another text) the one with the smallest hash stands for it.
-    named = sets.groupBy("id").agg(F.min(F.struct("h1", "h2", "copies", "n_set")).alias("s")).select("id", "s.*")
-    points = some.select("h1", "h2", F.col("doc_id").alias("id"), "sig").join(named, ["h1", "h2", "id"]).dropDuplicates(["h1", "h2", "id"])
-    points = scratch.cut(points.select("id", "sig", "h1", "copies", "n_set"))
-    family = scratch.cut(families(scratch, points, threshold))
-
-    members = family.join(points.select("id", "h1", "copies", "n_set"), "id")
+    sets = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_set").alias("n_set"), F.first("sig").alias("sig"))
+    # Numbers are given once, as the table is written: what follows reads them and never makes them again.
+    sets = scratch.cut(sets.withColumn("node", F.monotonically_increasing_id()))
+    family = scratch.cut(families(scratch, sets.select(F.col("node").alias("id"), "sig"), threshold))
+
+    members = family.withColumnRenamed("id", "node").join(sets.select("node", "id", "h1", "h2", "copies", "n_set"), "node")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_set").alias("shingles"))
-    members = scratch.cut(members.join(sizes, "root").select(F.col("root").alias("family"), "id", "h1", "copies", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")))
-    scratch.drop(family)
-    # Texts outside families stay where they are: a bounded Bloom filter of the members' ids stands before the shuffle.
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")
+    members = scratch.cut(members.join(sizes, "root").select(F.col("root").alias("family"), "node", "id", "h1", "h2", "copies", blocks))
+    # Texts outside families stay where they are: a Bloom filter of the members' ids stands before the shuffle. Rows that
+    # repeat an id and a set melt into one before it.
     words = bloom.size(members.count())
     bits = scratch.cut(bloom.build(members.select("id"), "id", words)).scalar()
-    texts = docs.where(bloom.may_contain(bits, words, F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text").join(members, "id")
-    tasks = in_blocks(texts, F.col("blocks"), ["family"]).select("family", "p", "q", "side", "id", "h1", "copies", "text")
+    near = docs.where(bloom.may_contain(bits, words, F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text")
+    near = near.mapInArrow(lambda b: _named(b, k, ["h1", "h2"]), "id long, text string, h1 long, h2 long")
+    texts = near.groupBy("id", "h1", "h2").agg(F.first("text").alias("text")).join(members, ["id", "h1", "h2"])
+    tasks = in_blocks(texts.select("family", F.col("node").alias("id"), "copies", "blocks", "text"), F.col("blocks"), ["family"]).select("family", "p", "q", "side", "id", "copies", "text")
     num, den = threshold.numerator, threshold.denominator
     settled = scratch.cut(tasks.mapInArrow(lambda b: _settle(b, k, num, den), "id long, links long, root long"))
+    scratch.drop(family), scratch.drop(members)
+
     classes = components(scratch, settled.select(F.col("id").alias("u"), F.col("root").alias("v")))
     links = settled.groupBy("id").agg(F.sum("links").alias("links"))
-    by_set = sets.join(links, "id", "left").join(classes, "id", "left")
-    by_set = scratch.cut(by_set.select("h1", "h2", F.col("id").alias("set_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("class")))
-    out = signed.select("doc_id", "h1", "h2", "n_set").join(by_set, ["h1", "h2"], "left")
+    own = sets.select(F.col("node").alias("id"), F.col("id").alias("set_id"), "h1", "h2", "copies").join(links, "id", "left").join(classes, "id", "left")
+    own = scratch.cut(own.select("h1", "h2", "set_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root")))
+    scratch.drop(settled), scratch.drop(sets)
+    first = own.groupBy("root").agg(F.min(F.struct("set_id", "h1", "h2")).alias("s"))
+    by_set = own.join(first, "root").select("h1", "h2", "set_id", "copies", "links", F.col("s.set_id").alias("class"), (F.struct("set_id", "h1", "h2") == F.col("s")).alias("survivor"))
+    by_set = scratch.cut(by_set)
+    scratch.drop(own)
+    return signed.select("doc_id", "h1", "h2", "n_set"), by_set
+
+
+def ngram_join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """docs(doc_id long, text string) -> one row for each row: doc_id, n_links, class_id, kept, set_id.
+
+    n_links: other rows whose shingle sets have a Jaccard similarity of ``threshold`` or more. class_id: the smallest
+    doc_id reachable by links, the own one included; classes of different texts under one id may share it. kept: the row
+    is of its class's first set, by doc_id, and under that set's smallest id. set_id: the smallest doc_id with an equal set.
+    """
+    rows, sets = _judged(docs, k, threshold, Scratch(docs.sparkSession, "ngram-join"))
+    out = rows.join(sets, ["h1", "h2"], "left")
     own = (F.col("n_set") > 0) & F.col("doc_id").isNotNull()
-    out = out.select("doc_id", F.when(own, F.col("copies") - 1 + F.col("links")).otherwise(0).alias("n_links"), F.when(own, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"), F.when(own, F.col("set_id")).otherwise(F.col("doc_id")).alias("set_id"))
-    return out.select("doc_id", "n_links", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "set_id")
+    out = out.select(
+        "doc_id",
+        F.when(own, F.col("copies") - 1 + F.col("links")).otherwise(0).alias("n_links"),
+        F.when(own, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(own, F.col("survivor") & (F.col("doc_id") == F.col("set_id"))).otherwise(True).alias("kept"),
+        F.when(own, F.col("set_id")).otherwise(F.col("doc_id")).alias("set_id"),
+    )
+    return out
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one with the smallest id, of rows that repeat an id one.
+def keep_one(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that stay, with its columns: of each class one row, and every row that links with nothing.
 
-    Rows with a null id stay; of different texts under one id any one does. The join by id moves texts once; columns are those of ``docs``.
+    Rows with a null id or without shingles stay. A class keeps its first set, by smallest doc_id, and of the rows with
+    that id and set the first by all columns. Where all rows of an id fare alike, ids decide, and texts are not read
+    again; only rows of ids with kept and dropped texts, or with repeated ones, are named and joined by their set.
     """
     scratch = Scratch(docs.sparkSession, "ngram-stage")
-    judged = scratch.cut(ngram_join(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times")))
-    gone = scratch.cut(judged.where(~F.col("kept")).select("doc_id"))
-    twice = judged.where(F.col("kept") & (F.col("times") > 1)).select("doc_id")
+    rows, sets = _judged(docs, k, threshold, scratch)
+    h1, h2, many = fresh(docs, "h1", "h2", "many")
+    own = rows.where("doc_id is not null and n_set > 0").join(sets.select("h1", "h2", "set_id", "survivor"), ["h1", "h2"])
+    own = own.withColumn("stays", F.col("survivor") & (F.col("doc_id") == F.col("set_id")))
+    bare = rows.where("doc_id is not null and n_set = 0").select("doc_id", F.lit(True).alias("stays"), F.lit(True).alias("bare"))
+    ids = own.select("doc_id", "stays", F.lit(False).alias("bare")).unionByName(bare).groupBy("doc_id")
+    ids = scratch.cut(ids.agg(F.max("stays").alias("some"), F.min("stays").alias("every"), F.count(F.when(~F.col("bare"), 1)).alias("times"), F.max("bare").alias("bare")))
+    mixed = F.col("some") & ((F.col("times") > 1) | (F.col("bare") & (F.col("times") > 0)))
+    gone, twice = scratch.cut(ids.where(~F.col("some")).select("doc_id")), scratch.cut(ids.where(mixed).select("doc_id"))
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if twice.limit(1).count():
-        again = left.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-        left = left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again)
-    return left
+    if not twice.limit(1).count():
+        return left
+    again = docs.join(twice, "doc_id", "left_semi").select(docs.columns)
+    named = again.mapInArrow(lambda b: _named(b, k, [h1, h2]), f"{docs.schema.simpleString()[7:-1]},{h1}:bigint,{h2}:bigint")
+    stay = scratch.cut(own.where("stays").select("doc_id", "h1", "h2").distinct())
+    found = named.join(stay.select("doc_id", F.col("h1").alias(h1), F.col("h2").alias(h2)), ["doc_id", h1, h2])
+    found = found.groupBy("doc_id", h1, h2).agg(F.min(F.struct(*docs.columns)).alias(many)).select(f"{many}.*")
+    empty1, empty2 = set_id(np.zeros(0, dtype=np.uint64))
+    blank = named.where((F.col(h1) == empty1) & (F.col(h2) == empty2)).select(docs.columns)
+    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(found.select(docs.columns)).unionByName(blank)

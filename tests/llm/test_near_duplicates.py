@@ -120,3 +120,20 @@ def test_embedding_awkward_rows(spark):
 @pytest.mark.parametrize("depth", [1, 2, 3])
 def test_runs_reach_the_recall(depth):
     assert 1 - (1 - ngram_join.survival(depth)) ** ngram_join.runs(0.99, depth) >= 0.99
+
+
+def test_different_texts_under_one_id_are_judged_apart(spark):
+    a, b = (" ".join(words(rng(s), 40)) for s in (21, 22))
+    near = b.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, near, "en", "s", 1), (3, a, "en", "s", 1), (1, a, "en", "s", 1), (4, "", "en", "s", 0), (1, "", "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted((r["doc_id"], r["n_links"], r["class_id"], r["kept"]) for r in ngram_join.ngram_join(df).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+    kept = sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one(df).collect())
+    assert kept == sorted([(1, a), (1, b), (1, ""), (4, "")])
+
+
+def test_every_run_of_the_join_has_a_branch():
+    roots = ngram_join.mix64(np.arange(1, 16 * ngram_join.runs() + 1, dtype=np.uint64))
+    row, _ = ngram_join._chosen(roots, 0.8)
+    assert len(np.unique(row)) >= ngram_join.runs()
