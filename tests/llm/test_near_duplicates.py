@@ -137,3 +137,37 @@ def test_every_run_of_the_join_has_a_branch():
     roots = ngram_join.mix64(np.arange(1, 16 * ngram_join.runs() + 1, dtype=np.uint64))
     row, _ = ngram_join._chosen(roots, 0.8)
     assert len(np.unique(row)) >= ngram_join.runs()
+
+
+def test_codes_bound_the_cosine():
+    r = np.random.default_rng(4)
+    x = r.standard_normal((200, 48))
+    x[0], x[1] = 0, 0
+    x[0, 3], x[1, :2] = 1, (1e-9, 1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y, error = embedding_dedup.decode(embedding_dedup.encode(x))
+    assert (np.linalg.norm(x - y, axis=1) <= error + 1e-6).all() and error.max() < 0.05
+    assert (x @ x.T <= y @ y.T + error[:, None] + error[None, :] * (1 + error[:, None]) + 1e-4).all()
+
+
+def test_recall_of_the_index_against_brute_force(spark):
+    """Partners at a cosine just above the threshold, among many more vectors than pivots, none of them in the sample's region only."""
+    r = np.random.default_rng(9)
+    x = r.standard_normal((6000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = r.standard_normal((1500, 48))
+    u -= (u * x[:1500]).sum(axis=1, keepdims=True) * x[:1500]
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = r.uniform(0.951, 0.957, (1500, 1))
+    every = np.concatenate((x, c * x[:1500] + np.sqrt(1 - c * c) * u)).astype(np.float32).astype(np.float64)
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    got = {q["vec_id"]: q["n_links"] for q in embedding_dedup.embedding_dedup(vectors(spark, every)).collect()}
+    found = np.array([got[i] for i in range(len(every))])
+    assert (found <= want).all() and found.sum() >= 0.95 * want.sum() > 2800
+
+
+def test_different_vectors_under_one_id_are_judged_apart(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.1]), (3, [1.0, 0.0, 0.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
