@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapeflow.llm import classifier, language_id, queries
-from tapeflow.llm.common import held_out, scratch_dir
+from tapeflow.llm.common import Scratch, held_out, scratch_dir
 from tests.llm.helpers import DOCS, awkward, empty, rng, words
 
 SF = "/root/testdata/sf0.01"
@@ -20,32 +20,44 @@ def longest(text, corpus, at):
     return n
 
 
-def test_phrases_are_longest_matches():
+def counted(text, corpus):
+    at = count = 0
+    while at < len(text):
+        at += max(1, longest(text, corpus, at))
+        count += 1
+    return count
+
+
+@pytest.mark.parametrize("stretch", [8192, 7])
+def test_phrases_are_longest_matches_across_blanks(monkeypatch, stretch):
+    monkeypatch.setattr(language_id, "STRETCH", stretch)
+    monkeypatch.setattr(language_id, "LANES", 40)
     g = rng(1)
-    samples = {k: " ".join(words(g, 60, a)) for k, a in (("aa", "abcd"), ("bb", "bcde"))}
+    samples = {k: " ".join(words(g, 60, a)) for k, a in (("aa", "abcd"), ("bb", "bcdé"), ("zh", "你好吗我是不了人们来这那他她"))}
     m = language_id.Model(samples)
-    some = [*words(g, 80, "abcdef"), "a", "zz", "a!!b", "..."]
-    got = m.phrases(some)
-    for w, row in zip(some, got):
-        own = language_id.letters(w)
-        for k, n in zip(m.languages, row):
-            corpus, text, at, count = " " + " ".join(samples[k].lower().split()) + " ", f" {own} " if own else "", 0, 0
-            while at < len(text):
-                at += max(1, longest(text, corpus, at))
-                count += 1
-            assert count == n, (w, k)
+    some = [*(" ".join(words(g, g.randint(1, 30), "abcdeé你好")) for _ in range(60)), "a", "zz", "a!!b", "A  \n B1c", " ".join(samples["aa"].split()[3:9]), "क्षि x"]
+    codes, at, lettered = m.codes(some + ["", None, "12 ... 3"], m.table())
+    got = m.phrases(codes, at)
+    assert lettered.tolist() == [True] * len(some) + [False] * 3
+    for text, row in zip(some, got.tolist()):
+        own = f" {language_id.reduced(text)} "
+        assert row == [sum(counted(own[i : i + stretch], f" {language_id.reduced(samples[k])} ") for i in range(0, len(own), stretch)) for k in m.languages], text
 
 
 def test_automaton_accepts_exactly_the_substrings():
     text = [1, 2, 1, 1, 2, 3, 1]
-    step = language_id.suffix_automaton(text, 4)
+    step = language_id.suffix_automaton(text)
+    base, entries = language_id.interleaved(step, 4)
 
     def accepts(word):
         s = 0
         for c in word:
-            s = step[s, c]
-            if s < 0:
+            e = int(entries[base[s] + c])
+            assert (e >> 32 == s) == (c in step[s])
+            if e >> 32 != s:
                 return False
+            s = e & 0xFFFFFFFF
+            assert s in step[e >> 32].values()
         return True
 
     subs = {tuple(text[i:j]) for i in range(7) for j in range(i + 1, 8)}
@@ -53,6 +65,29 @@ def test_automaton_accepts_exactly_the_substrings():
     assert all(accepts(s) for s in subs) and not any(accepts(w) for w in every - subs)
 
 
+ALPHABETS = {"zh": (0x4E00, 1500), "ja": (0x3041, 86), "ko": (0xAC00, 1200), "ru": (0x430, 32), "ar": (0x627, 28), "hi": (0x905, 50), "el": (0x3B1, 25), "en": (0x61, 26), "th": (0xE01, 46)}
+
+
+def test_nine_scripts_at_once(spark):
+    """Large alphabets beside small ones; every letter of a sample counts, and no language is left out."""
+    g, rows = rng(12), []
+    for lang, (first, n) in ALPHABETS.items():
+        stock = ["".join(chr(first + g.randrange(n)) for _ in range(g.randint(2, 6))) for _ in range(150)]
+        rows += [(lang, " ".join(g.choice(stock) for _ in range(40))) for _ in range(24)]
+    g.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    held = held_out("doc_id", 3, 1)
+    got = language_id.predict(docs.where(held), language_id.train(docs, ~held)).collect()
+    assert len(got) > 50 and all(r["lang_pred"] == r["lang"] and r["score"] > 0.2 for r in got)
+
+
+def test_an_id_that_repeats_counts_once_in_the_sample(spark):
+    text = "immer derselbe text " * 30
+    docs = spark.createDataFrame([(1, text, "de")] * 500 + [(i, f"ein anderer satz nummer {chr(97 + i % 26) * 3} und mehr " * 9, "de") for i in range(2, 40)], "doc_id long, text string, lang string")
+    got = language_id.sample(docs, Scratch(spark, "t"), F.lit(True))["de"]
+    assert got.count("immer derselbe text") <= 30 and sum(f"nummer {c * 3}" in got for c in "cdefghijklmn") == 12
+
+
 def test_language_held_out_accuracy(spark):
     out = queries.op9_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "n_chars"), "doc_id")
     held = out.where("held_out and n_chars > 50").collect()
