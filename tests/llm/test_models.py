@@ -133,6 +133,24 @@ def test_positive_unlabelled_fit_separates_without_negatives():
     assert classifier.fit(positive[:0], unlabelled, 0.7).score(unlabelled[:1])[0] == pytest.approx(0.7)
 
 
+@pytest.mark.parametrize("prior", [0.4, 0.7, 0.9])
+def test_prior_from_positives_and_unlabelled_only(prior):
+    r = np.random.default_rng(2)
+    width, n = len(classifier.FEATURES), 3000
+    shift = np.zeros(width)
+    shift[:20] = 2
+    positive = r.standard_normal((1500, width))
+    unlabelled = r.standard_normal((n, width)) + np.where(np.arange(n) < prior * n, 0, 1)[:, None] * shift
+    assert classifier.estimate_prior(positive, r.permutation(unlabelled)) == pytest.approx(prior, abs=0.07)
+
+
+def test_labels_of_zero_teach_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 300")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("doc_id < 300")
+    one, other = (classifier.train(docs, x, F.lit(True)) for x in (labels, labels.where("quality = 1")))
+    assert one[1] == other[1] and all((a == b).all() for a, b in zip(one[0].weights, other[0].weights))
+
+
 def test_classifier_awkward_rows(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (9, 0, 0), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
