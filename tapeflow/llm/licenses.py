@@ -1,12 +1,15 @@
 """License scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
-Every line of the whole text that holds a licence word is a notice, joined with the lines right after it as long as they
-continue it. A notice is scored by the best of its parts (its first lines, one to all, and its sentences) against the
-best of a licence's templates: header, short sentences, SPDX ids and openings of licence files. Terms are weighted by
-tf-idf; only terms of the templates count for the product, all terms count for the length. A short template counts only
-where its telling terms (name and version) are all there. Document frequencies come from all notices of the corpus, and
-only those of template terms (a fixed vocabulary) are gathered. A file without a licence of its own inherits that of the
-nearest directory above it that has a licence file, by joins on directory paths.
+A notice is a paragraph of the whole text with a line that holds a licence word. It is scored in units: the paragraph,
+its lines, its sentences and its SPDX tags, those that hold a licence word; so a notice is found alone, wrapped, inside
+prose or before code, and a licence's full text by its paragraphs. Each unit meets every template: headers, short
+sentences, SPDX ids, openings and first paragraphs of licence files. The nearest template of the nearest unit names the file.
+
+Weights are (1 + log tf) (1 + log (N / df)), smoothed by the templates themselves, with the true document frequencies of
+all terms over the notices of the corpus: counted by one aggregation, joined back to the terms. Only those of template
+terms, a fixed vocabulary, reach the driver. A template of few terms counts only where its telling terms (name and
+version) are all there. A file without a licence of its own inherits that of the nearest directory at or above its own
+that has a licence file, by joins on directory paths.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeflow.llm.common import Scratch, slices
+from tapeflow.llm.url_filters import with_host_path
 
 # Notices as their publishers give them, shortened to the part that names the licence.
 TEMPLATES = {
@@ -53,12 +57,12 @@ def _gnu(kind: str, short: str, n: int) -> tuple[str, ...]:
 #: The other forms of a notice: a licence's score is the best over its template and these.
 VARIANTS: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (*_short("Apache License, Version 2.0", "Apache-2.0"), "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
-    "BSD-3-Clause": _short("BSD 3-Clause License", "BSD-3-Clause"),
+    "BSD-3-Clause": (*_short("BSD 3-Clause License", "BSD-3-Clause"), "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     "CC0-1.0": _short("CC0 1.0 Universal Public Domain Dedication", "CC0-1.0"),
     **{f"CC-{k}-4.0": _short(f"Creative Commons {v} 4.0 International License", f"CC-{k}-4.0") for k, v in _CC.items()},
     "GPL-2.0": _gnu("", "GPL", 2),
     "GPL-3.0": _gnu("", "GPL", 3),
-    "ISC": _short("ISC License", "ISC"),
+    "ISC": (*_short("ISC License", "ISC"), "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     "LGPL-3.0": _gnu("Lesser ", "LGPL", 3),
     "MIT": (*_short("MIT License", "MIT"), "MIT License Copyright (c)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
     "MPL-2.0": _short("Mozilla Public License, v. 2.0", "MPL-2.0"),
@@ -68,9 +72,11 @@ GENERIC = frozenset("a and c clause copyright general identifier international i
 SHORT = 14
 TRIGGER = re.compile(r"licen[sc]e|copyright|redistribut|permission|public domain|spdx", re.IGNORECASE)
 LEAST_COSINE = 0.5
-#: A continued notice is at most this many lines; the next line begins a notice of its own if it has a licence word.
-LINES = 12
+#: A file is a licence file if its name says so, or if its notice has this share of its words or more.
+LEAST_SHARE = 0.5
 _SPDX = re.compile(r"(?i)spdx-license-identifier:[^\S\n]*[^\s]+")
+#: Sentences end at a mark and white space, but not after a single letter (v. 2.0).
+_SENTENCE = re.compile(r"(?<=[.:;!?])(?<!\b[A-Za-z]\.)\s+")
 _TERM = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)?")
 
 
@@ -84,106 +90,117 @@ def forms(templates: dict[str, str], variants: dict[str, tuple[str, ...]]) -> li
     return sorted({*templates.items(), *((name, text) for name, texts in variants.items() for text in texts)})
 
 
-def parts(notice: str) -> list[str]:
-    """The first line, the first two, and so on to the whole notice; and its sentences that hold a licence word and SPDX tags."""
-    lines = notice.split("\n")
-    sentences = [s for line in lines for s in re.split(r"(?<=[.:;!?])\s+", line) if TRIGGER.search(s)]
-    return list(dict.fromkeys(["\n".join(lines[: i + 1]) for i in range(len(lines))] + sentences + _SPDX.findall(notice)))
-
-
 def notices(text: str | None) -> list[str]:
-    """The lines that hold a licence word, each with the lines that continue it (no full stop yet, up to LINES)."""
+    """The paragraphs that hold a licence word, as they stand."""
     if not text or not TRIGGER.search(text):
         return []
-    lines, out, i = text.split("\n"), [], 0
-    while i < len(lines):
-        if TRIGGER.search(lines[i]):
-            part = [lines[i]]
-            while i + 1 < len(lines) and len(part) < LINES and not part[-1].rstrip().endswith((".", ":")):
-                i += 1
-                part.append(lines[i])
-            out.append("\n".join(part))
-        i += 1
-    return out
+    return [p for p in re.split(r"\n(?:[^\S\n]*\n)+", text) if TRIGGER.search(p)]
+
+
+def units(notice: str) -> list[str]:
+    """The notice, then its lines, sentences and SPDX tags with a licence word; each once."""
+    lines = [x for x in notice.split("\n") if TRIGGER.search(x)]
+    sentences = [x for x in _SENTENCE.split(" ".join(notice.split())) if TRIGGER.search(x)]
+    return list(dict.fromkeys([notice, *lines, *sentences, *_SPDX.findall(notice)]))
 
 
 class Matcher:
-    """Cosines to the templates under document frequencies ``df`` among ``n`` notices (add-one smoothed)."""
+    """Templates under document frequencies ``df`` of their terms among ``n`` notices."""
 
     def __init__(self, df: dict[str, int], n: int, templates: dict[str, str] = TEMPLATES, variants: dict[str, tuple[str, ...]] = VARIANTS):
         every = forms(templates, variants)
-        self.idf = lambda t: math.log((1 + n + len(every)) / (1 + df.get(t, 0) + own[t])) + 1
-        own = Counter(t for _, text in every for t in terms(text).keys())
+        self.own, self.df = Counter(t for _, text in every for t in terms(text).keys()), df
+        self.total = 1 + n + len(every)
         self.vectors = []
         for name, text in every:
-            v = {t: (1 + math.log(c)) * self.idf(t) for t, c in terms(text).items()}
+            v = self.weights(terms(text))
             norm = math.sqrt(sum(x * x for x in v.values()))
             needs = v.keys() - GENERIC if len(v) <= SHORT else frozenset()
             self.vectors.append((name, {t: x / norm for t, x in v.items()}, needs))
 
-    def best(self, text: str) -> tuple[str | None, float]:
-        """The nearest licence and the cosine of its nearest template; ties go to the name first in order."""
-        found: tuple[str | None, float] = (None, 0.0)
-        for part in parts(text):
-            near = self._nearest(part)
-            if near[1] > found[1] + 1e-12:
-                found = near
-        return found
+    def weights(self, counts: dict[str, int]) -> dict[str, float]:
+        return {t: (1 + math.log(c)) * (1 + math.log(self.total / (1 + self.df.get(t, 0) + self.own[t]))) for t, c in counts.items()}
 
-    def _nearest(self, text: str) -> tuple[str | None, float]:
-        v = {t: (1 + math.log(c)) * self.idf(t) for t, c in terms(text).items()}
-        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+    def nearest(self, v: dict[str, float], norm: float) -> tuple[str | None, float]:
+        """The licence of the nearest template and its cosine, from the weights of a unit's template terms and the length
+        of all its weights; ties go to the name first in order."""
         found: tuple[str | None, float] = (None, 0.0)
         for name, w, needs in self.vectors:
-            if not needs <= v.keys():
-                continue
-            s = sum(x * w[t] for t, x in v.items() if t in w) / norm
-            if s > found[1] + 1e-12:
-                found = (name, s)
+            if needs <= v.keys():
+                s = sum(x * w[t] for t, x in v.items() if t in w) / (norm or 1.0)
+                if s > found[1] + 1e-9:
+                    found = (name, s)
         return found
 
 
-def _frequencies(docs: DataFrame, templates: dict[str, str], variants: dict[str, tuple[str, ...]]) -> tuple[dict[str, int], int]:
-    """Notices of the whole corpus, and how many hold each template term."""
-    known = {t for _, text in forms(templates, variants) for t in terms(text)}
+_UNITS = "array<struct<whole:boolean,share:double,known:array<struct<t:string,c:int>>,other:array<struct<t:string,c:int>>>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
-        for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                for notice in notices(text):
-                    count[""] += 1
-                    count.update(known & terms(notice).keys())
-        yield pa.RecordBatch.from_arrays([pa.array(list(count.keys()), type=pa.string()), pa.array(list(count.values()), type=pa.int64())], names=["term", "n"])
 
-    found = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return found, found.pop("", 0)
+def _extracted(files: DataFrame, keys: tuple[str, ...], known: frozenset[str]) -> DataFrame:
+    """uid, keys, path, named, units: one row for each file, in one pass over the texts."""
+    pair = pa.list_(pa.struct([("t", pa.string()), ("c", pa.int32())]))
+    kind = pa.list_(pa.struct([("whole", pa.bool_()), ("share", pa.float64()), ("known", pair), ("other", pair)]))
 
-
-def own_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_COSINE, variants: dict[str, tuple[str, ...]] = VARIANTS) -> DataFrame:
-    """docs(doc_id, path, text) -> doc_id, path, own_license, cosine, license_file: a row for each row.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found, named = [], []
+            for text, path in zip(batch.column("text").to_pylist(), batch.column("path").to_pylist()):
+                own = []
+                some = notices(text)
+                size = max(1, len(_TERM.findall(text.lower()))) if some else 1
+                for notice in some:
+                    share = sum(terms(notice).values()) / size
+                    for k, unit in enumerate(units(notice)):
+                        split: tuple[list, list] = ([], [])
+                        for t, c in terms(unit).items():
+                            split[t not in known].append({"t": t, "c": c})
+                        own.append({"whole": k == 0, "share": share, "known": split[0], "other": split[1]})
+                found.append(own or None)
+                named.append(bool(path) and bool(re.match(r"(?i)(licen[sc]e|copying|notice)\b", path.rsplit("/", 1)[-1])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", *keys, "path")), pa.array(named), pa.array(found, type=kind)], names=["uid", *keys, "path", "named", "units"])
+
+    own = files.select(F.monotonically_increasing_id().alias("uid"), *keys, "path", "text")
+    kept = own.drop("text").schema.simpleString()[7:-1]
+    return own.mapInArrow(run, f"{kept},named:boolean,units:{_UNITS}")
+
+
+def own_licenses(files: DataFrame, scratch: Scratch, keys: tuple[str, ...] = ("doc_id",), templates: dict[str, str] = TEMPLATES, least: float = LEAST_COSINE, variants: dict[str, tuple[str, ...]] = VARIANTS) -> DataFrame:
+    """files(keys, path, text) -> keys, path, own_license, cosine, license_file: a row for each row.
 
     own_license is null (cosine 0) for a null or empty text and where no notice comes near enough; of several notices
-    the nearest counts. license_file: the text begins with such a notice, or the file is named as a licence.
+    the nearest counts, of equal ones the first. license_file: the file has a licence of its own, and is named as a
+    licence or holds little but that notice.
     """
-    df, n = _frequencies(docs, templates, variants)
+    spark = files.sparkSession
+    known = frozenset(t for _, text in forms(templates, variants) for t in terms(text))
+    every = scratch.cut(_extracted(files, keys, known))
+    each = every.where("units is not null").select("uid", F.posexplode("units").alias("k", "u")).select("uid", "k", "u.*")
+    whole = each.where("whole").select(F.explode(F.concat("known", "other")).alias("x")).groupBy("x.t").agg(F.count(F.lit(1)).alias("df"))
+    df = scratch.cut(whole)
+    n = each.where("whole").count()
+    vocabulary = F.broadcast(spark.createDataFrame([(t,) for t in sorted(known)], "t string"))  # the templates' terms
+    matcher = Matcher({r["t"]: r["df"] for r in df.join(vocabulary, "t").collect()}, n, templates, variants)
+    # The other terms of a unit count for its length alone; theirs are the frequencies that the driver doesn't hold.
+    squares = F.pow((1 + F.log("c")) * (1 + F.log(F.lit(float(matcher.total)) / (1 + F.col("df")))), F.lit(2.0))
+    other = each.select("uid", "k", F.explode("other").alias("x")).select("uid", "k", "x.t", "x.c").join(df, "t").groupBy("uid", "k").agg(F.sum(squares).alias("rest"))
+    scored = each.select("uid", "k", "share", "known").join(other, ["uid", "k"], "left").select("uid", "k", "share", "known", F.coalesce("rest", F.lit(0.0)).alias("rest"))
+    shared = spark.sparkContext.broadcast(matcher)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(df, n, templates, variants)
-        for batch in slices(batches, "text"):
-            name, cosine, first = [], [], []
-            for text, path in zip(batch.column("text").to_pylist(), batch.column("path").to_pylist()):
-                best, top, leads = None, 0.0, False
-                for notice in notices(text):
-                    found, s = matcher.best(notice)
-                    if s >= least and s > top:
-                        best, top = found, s
-                    leads |= s >= least and text.lstrip().startswith(notice[:20].lstrip())
-                named = bool(path) and bool(re.match(r"(?i)(licen[sc]e|copying|notice)\b", path.rsplit("/", 1)[-1]))
-                name.append(best), cosine.append(top), first.append(best is not None and (leads or named))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), pa.array(name, type=pa.string()), pa.array(cosine, type=pa.float64()), pa.array(first, type=pa.bool_())], names=["doc_id", "path", "own_license", "cosine", "license_file"])
-
-    return docs.select("doc_id", "path", "text").mapInArrow(run, "doc_id long, path string, own_license string, cosine double, license_file boolean")
+        m = shared.value
+        for batch in batches:
+            found = []
+            for some, rest in zip(batch.column("known").to_pylist(), batch.column("rest").to_pylist()):
+                v = m.weights({x["t"]: x["c"] for x in some or []})
+                found.append(m.nearest(v, math.sqrt(rest + sum(x * x for x in v.values()))))
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("k"), batch.column("share"), pa.array([x[0] for x in found], type=pa.string()), pa.array([round(x[1], 9) for x in found], type=pa.float64())], names=["uid", "k", "share", "name", "cosine"])
+
+    near = scored.mapInArrow(run, "uid long, k int, share double, name string, cosine double").where(F.col("cosine") >= least)
+    best = near.groupBy("uid").agg(F.max(F.struct("cosine", (-F.col("k")).alias("first"), "name", "share")).alias("s"))
+    best = scratch.cut(best.select("uid", "s.*"))
+    own = F.col("name").isNotNull()
+    out = every.select("uid", *keys, "path", "named").join(best, "uid", "left")
+    return out.select(*keys, "path", F.col("name").alias("own_license"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"), (own & (F.col("named") | F.coalesce(F.col("share") >= LEAST_SHARE, F.lit(False)))).alias("license_file"))
 
 
 def directory(path: Column) -> Column:
@@ -191,7 +208,7 @@ def directory(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit("")))
 
 
-def inherit(found: DataFrame, scratch: Scratch) -> DataFrame:
+def inherit(found: DataFrame, scratch: Scratch, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds license and inherited_from (the directory; null where the licence is the file's own or there is none).
 
     Of several licence files of a directory the first by path decides. Joins are by directory: every distinct directory
@@ -206,18 +223,30 @@ def inherit(found: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = dirs.select("_dir", F.explode(above).alias("a")).select("_dir", "a.depth", "a.above").join(given, "above")
     nearest = pairs.groupBy("_dir").agg(F.max(F.struct("depth", "above", "given")).alias("s"))
     nearest = scratch.cut(nearest.select("_dir", F.col("s.above").alias("_from"), F.col("s.given").alias("_given")))
+    # The directories of files without a licence of their own may hold a third of them: only directories that inherit
+    # meet files, and Spark splits what is large.
     out = found.join(nearest, "_dir", "left")
     takes = F.col("own_license").isNull()
-    return out.select("doc_id", "path", "own_license", F.round("cosine", 6).alias("cosine"), "license_file", F.coalesce("own_license", "_given").alias("license"), F.when(takes, F.col("_from")).alias("inherited_from"))
+    return out.select(*keys, "path", "own_license", F.round("cosine", 6).alias("cosine"), "license_file", F.coalesce("own_license", "_given").alias("license"), F.when(takes, F.col("_from")).alias("inherited_from"))
+
+
+def scan(files: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """files(keys, path, text) -> a row for each row: keys, path, own_license, cosine, license_file, license, inherited_from.
+
+    ``keys`` name the columns that are carried along, whatever they hold; nulls and repeated rows stay rows of their own.
+    """
+    scratch = Scratch(files.sparkSession, "licenses")
+    return inherit(scratch.cut(own_licenses(files, scratch, keys)), scratch, keys)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, path, text) -> a row for each row: doc_id, path, own_license, cosine, license_file, license, inherited_from."""
-    scratch = Scratch(docs.sparkSession, "licenses")
-    return inherit(scratch.cut(own_licenses(docs)), scratch)
+def document_files(docs: DataFrame) -> DataFrame:
+    """doc_id, path, text of documents: the table tells no document's neighbours, so each is alone in its directory."""
+    path = F.concat_ws("/", F.coalesce(F.col("source"), F.lit("unknown")), F.col("doc_id").cast("string"), F.lit("text"))
+    return docs.select("doc_id", path.alias("path"), "text")
 
 
-def document_path() -> Column:
-    """A path for a document, as the table has none: source, two levels of directories of neighbouring ids, the id."""
-    n = F.col("doc_id")
-    return F.concat_ws("/", F.coalesce(F.col("source"), F.lit("unknown")), F.concat(F.lit("d"), F.floor(n / 4096)), F.concat(F.lit("d"), F.floor(n / 64)), F.concat(n, F.lit(".txt")))
+def page_files(pages: DataFrame) -> DataFrame:
+    """page_id, path, text of pages: host and path of the URL, and the text between the tags."""
+    found = with_host_path(pages.select("page_id", "url", "html"))
+    text = F.regexp_replace("html", "<[^>]*>", "\n")
+    return found.select("page_id", F.when(F.col("host") != "", F.concat("host", "path")).alias("path"), text.alias("text"))

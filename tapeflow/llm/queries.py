@@ -27,10 +27,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tapeflow.llm.licenses import document_path, scan
+    """Documents, and pages for their directories: doc_id is null for a page, page_id for a document."""
+    from tapeflow.llm.licenses import document_files, page_files, scan
 
-    docs = table(spark, sf_dir, "documents")
-    return scan(docs.select("doc_id", document_path().alias("path"), "text"))
+    docs, pages = document_files(table(spark, sf_dir, "documents")), page_files(table(spark, sf_dir, "pages"))
+    return scan(docs.unionByName(pages, allowMissingColumns=True), ("doc_id", "page_id"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

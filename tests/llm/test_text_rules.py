@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -166,12 +167,100 @@ def test_license_inheritance(spark):
     ]
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
     docs = awkward(spark)
-    assert licenses.scan(docs.select("doc_id", licenses.document_path().alias("path"), "text")).count() == 12
+    assert licenses.scan(licenses.document_files(docs.withColumn("path", F.lit("clash")))).count() == 12
 
 
-def test_templates_name_themselves():
+def test_pages_inherit_by_the_directories_of_their_urls(spark):
+    note = "<p>Released under the MIT License.</p>"
+    rows = [(1, "http://a.net/code/LICENSE", note), (2, "http://a.net/code/lib/x?y", "<p>text</p>"), (3, "http://A.net/code/y", None), (4, "http://a.net/z", "<p>a</p>"), (5, None, note + "<p>" + "w " * 90), (6, "http://b.net/", "<b>x</b>" + note + "<i>" + "word " * 50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["license"], r["inherited_from"]) for r in licenses.scan(licenses.page_files(pages), ("page_id",)).collect()}
+    assert got == {1: ("MIT", None), 2: ("MIT", "a.net/code"), 3: ("MIT", "a.net/code"), 4: (None, None), 5: ("MIT", None), 6: ("MIT", None)}
+
+
+def nearest(weights):
     m = licenses.Matcher({}, 0)
-    assert all(m.best(text)[0] == name for name, text in licenses.TEMPLATES.items())
+    return m.nearest(m.weights(weights), math.sqrt(sum(x * x for x in m.weights(weights).values())))
+
+
+def test_templates_name_themselves():
+    for name, text in licenses.forms(licenses.TEMPLATES, licenses.VARIANTS):
+        found, cosine = nearest(licenses.terms(text))
+        assert found == name and cosine == pytest.approx(1), text
+
+
+def test_cosines_match_brute_force(spark):
+    """tf-idf with the frequencies of all terms, template terms or not, over the notices of the corpus."""
+    g, every = rng(31), licenses.forms(licenses.TEMPLATES, licenses.VARIANTS)
+    texts = []
+    for i in range(120):
+        t = g.choice(every)[1].split()
+        for _ in range(g.randrange(len(t))):
+            t.insert(g.randrange(len(t)), g.choice(["common", "frequent", g.choice(words(g, 5)), "license"]))
+        texts.append("\n".join(x for x in (" ".join(words(g, 20)), "", " ".join(t[: len(t) // 2]), " ".join(t[len(t) // 2 :]), "", " ".join(words(g, 9)))))
+    texts += ["", None, "no notice", "License.\n\nlicense license"]
+    some = [n for t in texts for n in licenses.notices(t)]
+    df = Counter(t for n in some for t in licenses.terms(n))
+    own = Counter(t for _, text in every for t in licenses.terms(text))
+    idf = lambda t: 1 + math.log((1 + len(some) + len(every)) / (1 + df[t] + own[t]))
+    vector = lambda text: {t: (1 + math.log(c)) * idf(t) for t, c in licenses.terms(text).items()}
+
+    def cosine(a, b):
+        return sum(x * b.get(t, 0) for t, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()) or 1)
+
+    def best(text):
+        found = [(cosine(vector(u), vector(f)), name) for n in licenses.notices(text) for u in licenses.units(n) for name, f in every if len(licenses.terms(f)) > licenses.SHORT or licenses.terms(f).keys() - licenses.GENERIC <= licenses.terms(u).keys()]
+        top = max((c for c, _ in found), default=0)
+        return (top, {name for c, name in found if c > top - 1e-6}) if top >= licenses.LEAST_COSINE else (0, {None})
+
+    df_ = spark.createDataFrame([(i, f"d{i}/x", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    for r in licenses.scan(df_).collect():
+        top, names = best(texts[r["doc_id"]])
+        assert r["cosine"] == pytest.approx(top, abs=2e-6) and r["own_license"] in names, texts[r["doc_id"]]
+
+
+FULL_MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+FULL_BSD = """Copyright (c) 2021, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_full_licence_texts_are_read_in_whole(spark):
+    far = "\n".join(f"line {i} of a long preface" for i in range(400))
+    rows = [(1, "a/LICENSE", FULL_MIT), (2, "b/COPYING", FULL_BSD), (3, "c/x", far + "\n\n" + FULL_MIT), (4, "a/s/x.c", "int x;"), (5, "b/y.c", "int y;"), (6, "d/e", FULL_BSD), (7, "d/f/g", "z")]
+    got = {r["doc_id"]: (r["license"], r["inherited_from"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", None), 2: ("BSD-3-Clause", None), 3: ("MIT", None), 4: ("MIT", "a"), 5: ("BSD-3-Clause", "b"), 6: ("BSD-3-Clause", None), 7: (None, None)}
 
 
 LINES = {
