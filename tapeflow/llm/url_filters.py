@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeflow.llm import bloom
-from tapeflow.llm.common import Scratch
+from tapeflow.llm.common import Scratch, fresh
 
 #: (verdict, host and path prefix), in the order of the contract.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -71,35 +71,34 @@ def filter_urls(
     words = bloom.size(keys.count(), most_words)
     bits = scratch.cut(bloom.build(keys, "key", words)).scalar()
 
-    host, path = F.col("host"), F.col("path")
-    names = []
-    for labels, chars in shapes:
+    host, path, own = F.col("host"), F.col("path"), pages.columns
+    *names, canon, key, best, on_list = fresh(pages, *(f"key{k}" for k in range(len(shapes))), "canon", "k", "best", "on_list")
+    for (labels, chars), name in zip(shapes, names):
         suffix = F.substring_index(host, ".", -labels)
         fits = (host != "") & (F.size(F.split(host, r"\.")) >= labels) & (F.length(path) >= chars)
-        key = F.when(fits, F.concat(F.lit("r "), suffix, F.substring(path, 1, chars)))
-        names.append(f"_key{len(names)}")
-        pages = pages.withColumn(names[-1], key)
-    pages = pages.withColumn("_url", F.concat(F.lit("u "), canonical(host, path)))
-    tested = [*names, *(["_url"] if listed is not None else [])]
+        pages = pages.withColumn(name, F.when(fits, F.concat(F.lit("r "), suffix, F.substring(path, 1, chars))))
+    pages = pages.withColumn(canon, F.concat(F.lit("u "), canonical(host, path)))
+    tested = [*names, *([canon] if listed is not None else [])]
     pages = scratch.cut(pages)
     pages = pages.withColumns({c: F.when(bloom.may_contain(bits, words, F.col(c)), F.col(c)) for c in tested})
-    some = F.coalesce(*(F.col(c) for c in tested)).isNotNull()
+    some = F.coalesce(*(F.col(c) for c in tested)).isNotNull() if tested else F.lit(False)
     miss, hit = pages.where(~some), pages.where(some)
-    for k, c in enumerate(names):
-        side = rules.select(F.concat(F.lit("r "), "rule").alias("_k"), F.col("rule").alias(f"_rule{k}"), F.col("verdict").alias(f"_verdict{k}"))
-        hit = hit.join(side, hit[c] == side["_k"], "left").drop("_k")
+    found = fresh(pages, *(f"found{k}" for k in range(len(names))))
+    for name, rule in zip(names, found):
+        value = F.struct(F.length("rule").alias("n"), "rule", "verdict")
+        side = rules.select(F.concat(F.lit("r "), "rule").alias(key), value.alias(rule))
+        hit = hit.join(side, hit[name] == side[key], "left").drop(key)
     if listed is not None:
-        side = listed.select(F.col("key").alias("_k"), F.lit(True).alias("_listed"))
-        hit = hit.join(side, hit["_url"] == side["_k"], "left").drop("_k")
+        side = listed.select(F.col("key").alias(key), F.lit(True).alias(on_list))
+        hit = hit.join(side, hit[canon] == side[key], "left").drop(key)
     else:
-        hit = hit.withColumn("_listed", F.lit(None).cast("boolean"))
-    best = F.array_max(F.array(*(F.when(F.col(f"_rule{k}").isNotNull(), F.struct(F.length(f"_rule{k}").alias("n"), F.col(f"_rule{k}").alias("rule"), F.col(f"_verdict{k}").alias("verdict"))) for k in range(len(names)))))
-    on_list = F.coalesce(F.col("_listed"), F.lit(False))
-    hit = hit.withColumn("_best", best)
-    hit = hit.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.when(on_list, "block").otherwise(default)), "listed": on_list})
-    miss = miss.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default), "listed": F.lit(False)})
-    own = [c for c in miss.columns if not c.startswith("_key") and c != "_url"]
-    return hit.select(own).unionByName(miss.select(own))
+        hit = hit.withColumn(on_list, F.lit(None).cast("boolean"))
+    nothing = F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
+    is_listed = F.coalesce(F.col(on_list), F.lit(False))
+    hit = hit.withColumn(best, F.array_max(F.array(nothing, *(F.col(c) for c in found))))
+    hit = hit.select(*own, F.col(f"{best}.rule").alias("rule"), F.coalesce(F.col(f"{best}.verdict"), F.when(is_listed, "block").otherwise(default)).alias("verdict"), is_listed.alias("listed"))
+    miss = miss.select(*own, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(False).alias("listed"))
+    return hit.unionByName(miss)
 
 
 def junk_listed(pages: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tapeflow.llm import bloom, licenses, pii, quality_rules, url_filters
+from tapeflow.llm.common import Scratch
 from tests.llm.helpers import DOCS, awkward, documents, empty, rng, words
 
 KINDS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
@@ -103,6 +105,70 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")] and {r["doc_id"] for r in kept.collect()} == set(range(300))
 
 
+def concentrated(x, start, ridge):
+    """Minimum covariance determinant by plain concentration steps on sorted distances: mean, covariance, log determinant."""
+    n, h = len(x), int(np.ceil(0.75 * len(x)))
+    mean, cov = start
+    for _ in range(100):
+        far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        some = x[np.argsort(far, kind="stable")[:h]]
+        nxt = some.mean(axis=0), np.cov(some.T, bias=True) * quality_rules.CONSISTENCY + ridge
+        if np.allclose(nxt[0], mean) and np.allclose(nxt[1], cov):
+            break
+        mean, cov = nxt
+    return mean, cov, np.linalg.slogdet(cov)[1]
+
+
+def test_estimate_and_verdicts_match_a_plain_search(spark):
+    """Three cells, one of them under the least size, against concentration steps from many random starts."""
+    g, r = rng(14), np.random.default_rng(3)
+    make = lambda n, a: [". ".join(" ".join(w + ("!" if g.random() < a else "") for w in words(g, 12)) for _ in range(g.randint(6, 12))) for _ in range(n)]
+    junk = [" ".join(w.upper() + "###" for w in words(g, 90)) for _ in range(25)]
+    rows = documents(make(160, 0.02) + junk, "en", "a") + documents(make(120, 0.2), "en", "b") + documents(make(12, 0.05) + junk[:2], "en", "c")
+    docs = spark.createDataFrame([(i, *x[1:]) for i, x in enumerate(rows)], DOCS)
+    scratch = Scratch(spark, "t")
+    stats = scratch.cut(quality_rules.with_stats(docs).drop("text"))
+    model = {x["_source"]: x for x in quality_rules.fit(stats, scratch).collect()}
+    got = {x["doc_id"]: x for x in quality_rules.judge(stats.withColumn("m0", F.lit("clash")), quality_rules.fit(stats, scratch)).collect()}
+    vectors = {x["doc_id"]: (x["source"], [x[v] for v in quality_rules.VECTOR]) for x in stats.where("not base_failed").select("doc_id", "source", *quality_rules._vector()).collect()}
+    ridge = np.diag((np.array(quality_rules.FLOOR) * quality_rules.GRID) ** 2)
+    for source in "abc":
+        x = np.array([v for s, v in vectors.values() if s == source or source == "c"])  # c is judged by its language
+        starts = [(x.mean(axis=0), np.cov(x.T) + ridge)]
+        for _ in range(40):
+            some = x[r.choice(len(x), 12, replace=False)]
+            starts.append((some.mean(axis=0), np.cov(some.T) + ridge))
+        mean, cov, det = min((concentrated(x, s, ridge) for s in starts), key=lambda e: e[2])
+        m = model["=" + source]
+        assert 2 * m["det"] == pytest.approx(det, abs=0.3)  # steps take whole bins of the histogram
+        cut = quality_rules.CUTOFF * max(1, np.median(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)) / quality_rules.MEDIAN)
+        for i, (s, v) in vectors.items():
+            if s == source:
+                far = (np.array(v) - mean) @ np.linalg.inv(cov) @ (np.array(v) - mean)
+                if abs(np.log(far / cut)) > 0.3:
+                    assert got[i]["kept"] == (far <= cut), (source, far, cut)
+    assert not any(got[i]["kept"] for i in range(160, 185)) and all(got[i]["kept"] for i in [*range(160), *range(185, 317)])
+
+
+def test_small_tables_and_rare_languages_are_judged(spark):
+    g = rng(15)
+    clean = [". ".join(" ".join(words(g, 12)) for _ in range(8)) for _ in range(60)]
+    junk = " ".join(w.upper() + "###" for w in words(g, 90))
+    rows = documents(clean + [junk]) + [(100, junk, "sw", "rare", 1), (101, clean[0], None, None, 1)]
+    got = {r["doc_id"]: (r["distance2"], r["kept"]) for r in quality_rules.quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not got[60][1] and not got[100][1] and got[101][1] and all(got[i][1] for i in range(60))
+    few = {r["doc_id"]: r for r in quality_rules.quality(spark.createDataFrame(documents(clean[:9] + [junk]), DOCS)).collect()}
+    assert all(r["distance2"] is not None for r in few.values()) and not few[9]["kept"] and all(few[i]["kept"] for i in range(9))
+
+
+def test_columns_with_clashing_names_stay(spark):
+    df = spark.createDataFrame(documents(["a b c"]), DOCS).withColumns({c: F.lit("own") for c in ("_t", "t", "w", "p", "_p", "x_word", "m0", "_lang", "fitted", "vector", "_key0", "_url", "_key_id")})
+    out = quality_rules.judge(quality_rules.with_stats(df), quality_rules.fit(quality_rules.with_stats(df), Scratch(spark, "t"))).first()
+    assert all(out[c] == "own" for c in df.columns if c not in DOCS)
+    urls = url_filters.filter_urls(df.withColumn("url", F.lit("http://a.net/x")), listed=df.select("text")).first()
+    assert all(urls[c] == "own" for c in df.columns if c not in DOCS) and urls["verdict"] == "block"
+
+
 def test_quality_awkward_rows(spark):
     got = quality_rules.quality(awkward(spark)).collect()
     assert len(got) == 12 and all(r["base_failed"] and not r["kept"] for r in got if r["doc_id"] in (1, 2, 3, 4))
