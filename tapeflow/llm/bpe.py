@@ -5,7 +5,8 @@ themselves: one hash, one displacement, one comparison. The others merge: a heap
 over a linked list of byte ranges, the lowest rank (leftmost on ties) merges first, stale entries are skipped.
 
 Texts are cut at blanks that follow a non-space character. No pre-token of the pattern crosses such a place, so the
-pieces between them encode independently, and what a piece encodes to is remembered (in two generations of ``REMEMBERED`` pieces at most).
+pieces between them encode independently, and what a piece encodes to is remembered: pieces of at most ``LONGEST``
+characters, in two generations of ``REMEMBERED`` each, so memory has a bound whatever the texts.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from tapeflow.llm.common import slices
 
-REMEMBERED = 350_000
+REMEMBERED, LONGEST = 350_000, 64
 #: A blank after white space: such texts are split by the pattern as a whole.
 _DOUBTFUL = re.compile(r"\s ")
 
@@ -92,14 +93,13 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
-    def turn(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-
 
 class Codec:
     """encode: text -> ids; decode: ids -> bytes. A null text counts as empty."""
@@ -166,7 +166,6 @@ class Codec:
             return []
         if _DOUBTFUL.search(text):
             return self._whole(text)
-        self.after_blank.turn()
         words = text.split(" ")
         return [*self._whole(words[0]), *chain.from_iterable(map(self.after_blank.__getitem__, words[1:]))]
 
@@ -214,15 +213,18 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        gc.disable()  # strings and tuples make no cycles; passes over the remembered ones cost time
         decimal = [str(i) for i in range(max(c.bytes_of) + 1)]
-        for batch in slices(batches, "text"):
-            n, a, b = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = c.encode(text)
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(n, dtype=np.int64)), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        gc.disable()  # strings and tuples make no cycles; passes over the remembered ones cost time
+        try:
+            for batch in slices(batches, "text"):
+                n, a, b = [], [], []
+                for text in batch.column("text").to_pylist():
+                    ids = c.encode(text)
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                    b.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(n, dtype=np.int64)), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:  # the worker serves other tasks too
+            gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

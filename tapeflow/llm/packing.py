@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 from tapeflow.llm.common import Scratch, slices
 
 CAPACITY, END = 2048, 0
-#: Rows of one rank group, about, and groups of a length at most.
-GROUP, MOST_GROUPS = 100_000, 4096
+#: Rows of one rank group, about.
+GROUP = 100_000
 
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
 
@@ -146,7 +146,7 @@ def pack(items: DataFrame, scratch: Scratch, order: list[str], capacity: int = C
     Only the counts by length reach the driver, ``capacity`` numbers at most.
     """
     counts = {r["length"]: r["count"] for r in items.groupBy("length").count().collect()}
-    groups = int(min(MOST_GROUPS, max(16, sum(counts.values()) // GROUP)))
+    groups = max(16, sum(counts.values()) // GROUP)
     salted = items.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(groups)))
     sizes = salted.groupBy("length", "_salt").count()
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -176,8 +176,10 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: in
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece.
 
     Sequences hold at most ``capacity`` ids; offsets are gapless from 0. Texts are tokenized once: the narrow table of
-    pieces is written to the shared folder. Rows with null or repeated ids are documents of their own.
+    pieces is written to the shared folder. Rows with null or repeated ids are documents of their own; pieces are
+    numbered as they are written, so that equal rows spread over the rank groups like any others.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    cut = scratch.cut(pieces(docs, path, capacity, end))
-    return pack(cut, scratch, ["doc_id", "piece", "start", "ids_crc32"], capacity)
+    found = pieces(docs, path, capacity, end)
+    cut = scratch.cut(found.withColumn("_nth", F.monotonically_increasing_id()))
+    return pack(cut, scratch, ["_nth"], capacity).drop("_nth")

@@ -6,6 +6,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tapeflow.llm import bpe, packing
@@ -40,7 +41,9 @@ def test_memory_of_pieces_is_bounded_and_changes_nothing(reference):
     c.after_blank.most = 50
     texts = [" ".join(words(rng(i), 60)) for i in range(40)]
     assert [c.encode(t) for t in texts] == reference.encode_ordinary_batch(texts)
-    assert len(c.after_blank) <= 50 + 61 and len(c.after_blank.old) <= 50 + 61
+    long = " ".join(c * 5000 for c in "abcdefgh") + " x" + " y" * 200
+    assert c.encode(long) == reference.encode_ordinary(long)
+    assert len(c.after_blank) <= 50 and len(c.after_blank.old) <= 50 and max(map(len, c.after_blank)) <= bpe.LONGEST
 
 
 def test_long_runs_merge_in_good_time(reference):
@@ -88,6 +91,16 @@ def test_pieces_follow_the_tokenizer(spark):
     assert packing.pack_documents(empty(spark), FILE).count() == 0
 
 
+def test_few_sequences_on_a_table_and_one_length_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 10)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    same = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    rows = packing.pack_documents(docs.unionByName(same), FILE).collect()
+    total = sum(r["length"] for r in rows)
+    assert -(-total // 2048) <= placed(rows, 2048) <= -(-total // 2048) + 1
+    assert sum(r["doc_id"] is None for r in rows) == 300
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 30), max_size=25))
 def test_plan_places_every_rank_once(counts):
