@@ -41,7 +41,8 @@ class Order:
     ups: int = 0
     downs: int = 0
     moves: int = 0
-    chain: int = 0
+    mid2_add: int | None = None
+    chain: int = 0  # the order id of the chain's root
     chain_index: int = 0
     confidence: float = 0.0
     link_dt: int = 0
@@ -101,38 +102,48 @@ class Instrument:
         self.orders: dict[int, Order] = {}
         self.side = {s: Side(s) for s in SIDES}
         self.counts: Counter = Counter()
-        self.incidents: list[tuple[str, int]] = []
+        self.incidents: list[tuple[str, int, int]] = []
         self.lifecycle: list[dict] = []
         self.flow: list[dict] = []
-        self.slots: dict[tuple[str, int], tuple[int, Order]] = {}
-        self.last_top: dict[str, list] | None = None
-        self.next_chain = 0
+        self.slots: dict[tuple[str, int], tuple[int, int, int, int]] = {}  # time, root, index and clip of the last filled order
+        self.last_top: dict[str, list] = {s: [] for s in SIDES}
         self.group: int | None = None
         self.acc: Counter | None = None
-        self.touched = self.cleared = False
-        self.ts = 0
+        self.touched = False
+        self.ts = self.seq = 0
         self.extremes: dict[str, list[tuple[int, int]]] = {s: [] for s in SIDES}
         self.last_best: dict[str, int | None] = {s: None for s in SIDES}
 
     # -- groups ---------------------------------------------------------------------------------------------------
 
     def feed(self, r: dict) -> None:
-        if r["group_id"] != self.group:
+        self.step(r["group_id"], r["ts_event"], r["action"], r["side"], r["price"], r["size"], r["order_id"], r["flags"], r.get("seq", 0))
+
+    def step(self, group: int, ts: int, action: str, side: str, price: int, size: int, oid: int, flags: int, seq: int = 0) -> None:
+        if group != self.group:
             self.end_group()
-            self.group, self.acc, self.touched, self.cleared = r["group_id"], Counter(), False, False
-        self.ts = r["ts_event"]
-        action = r["action"]
+            self.group, self.acc, self.touched = group, Counter(), False
+        self.ts, self.seq = ts, seq
         self.counts[action] += 1
-        step = {"A": self.add, "C": self.cancel, "M": self.modify, "T": self.trade, "F": self.fill, "R": self.clear}.get(action)
-        if step is None:
+        if action == "A":
+            self.add(side, price, size, oid, flags)
+        elif action == "C":
+            self.cancel(size, oid)
+        elif action == "M":
+            self.modify(side, price, size, oid, flags)
+        elif action == "T":
+            self.trade(side, price, size)
+        elif action == "F":
+            self.fill(size, oid)
+        elif action == "R":
+            self.clear()
+        else:
             self.counts["others"] += 1
-            return
-        step(r)
 
     def incident(self, kind: str, oid: int) -> None:
         self.counts[f"incident_{kind}"] += 1
         if len(self.incidents) < self.set.incidents:
-            self.incidents.append((kind, oid))
+            self.incidents.append((kind, oid, self.seq))
 
     def end_group(self) -> None:
         if self.acc is None:
@@ -140,7 +151,7 @@ class Instrument:
         bid, ask = self.side["B"].best(), self.side["A"].best()
         if bid is not None and ask is not None and bid >= ask:
             self.incident("crossed", 0)
-        if self.touched and not self.cleared:
+        if self.touched:
             self.emit_flow()
         self.acc = None
 
@@ -168,6 +179,13 @@ class Instrument:
     def distance(self, side: str, price: int, best: int | None) -> int | None:
         return None if best is None else (best - price if side == "B" else price - best)
 
+    def mid2(self, side: str, price: int) -> int | None:
+        """Twice the distance to the mid, a whole number; None unless both sides rest."""
+        bid, ask = self.side["B"].best(), self.side["A"].best()
+        if bid is None or ask is None:
+            return None
+        return bid + ask - 2 * price if side == "B" else 2 * price - bid - ask
+
     def approach(self, o: Order) -> int | None:
         """Closest distance of the same-side best since the order's segment began, changes at that very time included."""
         stack = self.extremes[o.side]
@@ -177,24 +195,23 @@ class Instrument:
             found.append(self.distance(o.side, o.price, stack[at][1]))
         return min([d for d in found if d is not None], default=None)
 
-    def add(self, r: dict, unknown: bool = False) -> None:
-        oid, side = r["order_id"], r["side"]
+    def add(self, side: str, price: int, size: int, oid: int, flags: int, unknown: bool = False) -> None:
         if side not in SIDES:
             self.incident("bad_side", oid)
             return
         if oid in self.orders:
             self.incident("duplicate_add", oid)
             self.remove(self.orders[oid], "replaced")
-        o = Order(oid, side, r["price"], r["size"], self.ts, r["price"], r["size"], bool(r["flags"] & F_SNAPSHOT), unknown, 0, 0, None, self.ts, top_size=r["size"])
+        o = Order(oid, side, price, size, self.ts, price, size, bool(flags & F_SNAPSHOT), unknown, 0, 0, None, self.ts, top_size=size)
         if not o.snapshot:
             self.link(o)
         o.queue_pos, o.ahead = self.side[side].join(o)
         self.orders[oid] = o
         best = self.side[side].best()
-        o.dist_add, o.prevailing = self.distance(side, o.price, best), best
+        o.dist_add, o.mid2_add, o.prevailing = self.distance(side, price, best), self.mid2(side, price), best
         self.note_best()
         self.touched = True
-        self.band("add", side, o.dist_add, o.size)
+        self.band("add", side, o.dist_add, size)
 
     def band(self, what: str, side: str, dist: int | None, size: int) -> None:
         if dist is None:
@@ -210,35 +227,28 @@ class Instrument:
         slot = self.slots.get((o.side, o.price))
         if slot is None:
             return
-        at, gone = slot
+        at, root, index, clip = slot
         dt = self.ts - at
         if dt > self.set.refill_ns:
             del self.slots[(o.side, o.price)]
             return
-        clip = gone.first_size
-        if o.size > clip * (1 + self.set.refill_tolerance):
+        if o.size > self.set.refill_tolerance * clip:
             return
         del self.slots[(o.side, o.price)]
-        if not gone.chain:
-            self.next_chain += 1
-            gone.chain = self.next_chain
-            for row in reversed(self.lifecycle):
-                if row["order_id"] == gone.oid and not row["chain_id"]:
-                    row["chain_id"] = gone.chain
-                    break
-        o.chain, o.chain_index, o.link_dt = gone.chain, gone.chain_index + 1, dt
+        o.chain, o.chain_index, o.link_dt = root, index + 1, dt
         like = 1.0 if o.size == clip else 0.75 if o.size < clip else 0.5
         o.confidence = (1 - 0.5 * dt / self.set.refill_ns) * like
         x = o.side.lower()
         self.acc[f"refill_{x}"] += 1
         self.acc["refill_conf_sum"] += o.confidence
+        self.counts["refill_links"] += 1
 
-    def cancel(self, r: dict) -> None:
-        o = self.orders.get(r["order_id"])
+    def cancel(self, size: int, oid: int) -> None:
+        o = self.orders.get(oid)
         if o is None:
-            self.incident("unknown_cancel", r["order_id"])
+            self.incident("unknown_cancel", oid)
             return
-        if r["size"] and r["size"] != o.size:
+        if size and size != o.size:
             self.incident("size_mismatch", o.oid)
         filled = o.fill_ts == self.ts
         self.counts["fill_removals" if filled else "pulled"] += 1
@@ -253,8 +263,12 @@ class Instrument:
         if not o.chain_index:
             self.acc[f"term_{kind}_unchained"] += 1
             self.acc[f"life_{kind}_unchained_sum"] += life
+        elif filled:
+            self.acc["term_filled_refill"] += 1
         if filled:
-            self.slots[(o.side, o.price)] = (self.ts, o)
+            o.chain = o.chain or o.oid
+            self.slots[(o.side, o.price)] = (self.ts, o.chain, o.chain_index, o.first_size)
+            self.counts["refill_slots"] += 1
         else:
             o.cancelled += o.size
         self.remove(o, "filled" if filled else "partial_cancelled" if o.filled else "cancelled")
@@ -262,7 +276,9 @@ class Instrument:
     def remove(self, o: Order, state: str) -> None:
         level = self.side[o.side].levels[o.price]
         pos = next(i for i, k in enumerate(level) if k == o.oid)
-        touch, dist = self.approach(o), self.distance(o.side, o.price, self.side[o.side].best())
+        touch, dist, mid2 = self.approach(o), self.distance(o.side, o.price, self.side[o.side].best()), self.mid2(o.side, o.price)
+        self.counts["terminations"] += 1
+        self.counts["filled_volume"] += o.filled
         self.side[o.side].leave(o)
         del self.orders[o.oid]
         self.note_best()
@@ -271,17 +287,17 @@ class Instrument:
                 "instrument_id": self.iid, "order_id": o.oid, "side": o.side, "price_at_add": o.first_price, "price_final": o.price, "ts_added": o.ts, "ts_terminated": self.ts,
                 "from_snapshot": o.snapshot, "entered_unknown_modify": o.unknown, "initial_size": o.first_size, "max_size": o.top_size, "final_size": o.size, "filled_size": o.filled, "cancelled_size": o.cancelled,
                 "n_size_increases": o.ups, "n_size_decreases": o.downs, "n_price_changes": o.moves, "final_state": state, "queue_pos_at_add": o.queue_pos, "vol_ahead_at_add": o.ahead, "queue_pos_at_term": pos,
-                "dist_same_at_add": o.dist_add, "dist_same_at_term": dist, "min_dist_same": touch, "chain_id": o.chain, "chain_index": o.chain_index, "link_confidence": o.confidence, "link_dt_ns": o.link_dt,
+                "dist_same_at_add": o.dist_add, "dist_same_at_term": dist, "dist_mid2_at_add": o.mid2_add, "dist_mid2_at_term": mid2, "min_dist_same": touch, "chain_id": o.chain, "chain_index": o.chain_index, "link_confidence": o.confidence, "link_dt_ns": o.link_dt,
             }
         )
 
-    def modify(self, r: dict) -> None:
-        o = self.orders.get(r["order_id"])
+    def modify(self, named: str, price: int, size: int, oid: int, flags: int) -> None:
+        o = self.orders.get(oid)
         if o is None:
-            self.incident("unknown_modify", r["order_id"])
-            self.add(r, unknown=True)
+            self.incident("unknown_modify", oid)
+            self.add(named, price, size, oid, flags, unknown=True)
             return
-        side, price, size = self.side[o.side], r["price"], r["size"]
+        side = self.side[o.side]  # the stored side counts, whatever the record names
         if size > o.size:
             o.ups += 1
         elif size < o.size:
@@ -305,40 +321,41 @@ class Instrument:
         o.unapplied, o.top_size = 0, max(o.top_size, size)
         self.note_best()
 
-    def trade(self, r: dict) -> None:
+    def trade(self, side: str, price: int, size: int) -> None:
         self.touched = True
-        buy = r["side"] == "B"
-        self.counts["t_volume"] += r["size"]
-        a, p = self.acc, r["price"]
-        a["t_buy" if buy else "t_sell"] += r["size"]
-        a["t_buy_n" if buy else "t_sell_n"] += 1
-        a["t_px_high"] = max(a["t_px_high"], p)
-        a["t_px_low"] = min(a["t_px_low"], p) if a["t_px_low"] else p
-
-    def fill(self, r: dict) -> None:
-        o = self.orders.get(r["order_id"])
+        x, a = "buy" if side == "B" else "sell", self.acc
+        self.counts["t_volume"] += size
+        a[f"t_{x}"] += size
+        a[f"t_{x}_n"] += 1
+        first = a["t_buy_n"] + a["t_sell_n"] == 1
+        a["t_px_high"] = price if first else max(a["t_px_high"], price)
+        a["t_px_low"] = price if first else min(a["t_px_low"], price)
+
+    def fill(self, size: int, oid: int) -> None:
+        o = self.orders.get(oid)
         if o is None:
-            self.incident("unknown_fill", r["order_id"])
-            self.counts["f_volume_unattributed"] += r["size"]
+            self.incident("unknown_fill", oid)
+            self.counts["f_volume_unattributed"] += size
             return
         self.touched = True
         shown = max(0, o.size - o.unapplied)
-        o.filled += r["size"]
-        o.unapplied += r["size"]
+        o.filled += size
+        o.unapplied += size
         o.fill_ts = self.ts
         if o.unapplied > o.size:
             self.counts["fills_exceeding_displayed"] += 1
         x = o.side.lower()
-        self.acc[f"fill_{x}"] += r["size"]
-        self.acc[f"hidden_{x}"] += max(0, r["size"] - shown)
+        self.acc[f"fill_{x}"] += size
+        self.acc[f"hidden_{x}"] += max(0, size - shown)
 
-    def clear(self, r: dict) -> None:
+    def clear(self) -> None:
+        """Ends all orders and forgets what later rows would compare with; the group goes on from nothing."""
         for oid in sorted(self.orders):
             self.remove(self.orders[oid], "cleared")
         self.slots.clear()
-        self.last_top = None
+        self.last_top = {s: [] for s in SIDES}
         self.extremes, self.last_best = {s: [] for s in SIDES}, {s: None for s in SIDES}
-        self.cleared = True
+        self.acc, self.touched = Counter(), False
 
     # -- flow -----------------------------------------------------------------------------------------------------
 
@@ -360,10 +377,13 @@ class Instrument:
         self.flow.append(row)
 
     def level_flow(self, s: str, now: list) -> list[int]:
-        """Signed depth change of each level against the last emitted row: better price adds, worse one takes away."""
-        if self.last_top is None:
-            return [0] * LEVELS
+        """Signed depth change of each level against the last emitted row: better price adds, worse one takes away.
+
+        All 0 where the side was empty at that row, at the start and after a clear.
+        """
         old, out = self.last_top[s], []
+        if not old:
+            return [0] * LEVELS
         for i in range(LEVELS):
             a, b = (now[i] if i < len(now) else None), (old[i] if i < len(old) else None)
             if a is None or b is None:
@@ -378,14 +398,14 @@ class Instrument:
 
 ACCUMULATED = (
     "t_buy", "t_sell", "t_buy_n", "t_sell_n", "t_px_high", "t_px_low", "add_best_b", "add_near_b", "pull_best_b", "pull_near_b", "add_best_a", "add_near_a", "pull_best_a", "pull_near_a",
-    "fill_b", "fill_a", "hidden_b", "hidden_a", "term_filled", "term_pulled_touched", "term_pulled_untouched", "life_filled_sum", "life_pulled_sum", "term_filled_unchained",
+    "fill_b", "fill_a", "hidden_b", "hidden_a", "term_filled", "term_pulled_touched", "term_pulled_untouched", "term_filled_refill", "life_filled_sum", "life_pulled_sum", "term_filled_unchained",
     "life_filled_unchained_sum", "term_pulled_unchained", "life_pulled_unchained_sum", "refill_b", "refill_a", "refill_conf_sum",
 )
 
 LIFECYCLE = (
     "instrument_id long, order_id long, side string, price_at_add long, price_final long, ts_added long, ts_terminated long, from_snapshot boolean, entered_unknown_modify boolean, initial_size long, max_size long, "
     "final_size long, filled_size long, cancelled_size long, n_size_increases long, n_size_decreases long, n_price_changes long, final_state string, queue_pos_at_add long, vol_ahead_at_add long, queue_pos_at_term long, "
-    "dist_same_at_add long, dist_same_at_term long, min_dist_same long, chain_id long, chain_index long, link_confidence double, link_dt_ns long"
+    "dist_same_at_add long, dist_same_at_term long, dist_mid2_at_add long, dist_mid2_at_term long, min_dist_same long, chain_id long, chain_index long, link_confidence double, link_dt_ns long"
 )
 FLOW = (
     "instrument_id long, group_id long, ts long, valid int, "

@@ -14,10 +14,6 @@ from tapeflow.sources.events import MBO_SQL, read_mbo
 HOUR = 3_600_000_000_000
 
 
-def orders(spark, sf_dir):
-    return replay.orders_frame(replay.lifecycle(read_mbo(spark, sf_dir)))
-
-
 @query("lifecycle_records")
 def lifecycle_records(spark, sf_dir):
     return replay.lifecycle(read_mbo(spark, sf_dir))
@@ -51,26 +47,6 @@ def flow_trades(spark, sf_dir):
     return replay.flow(read_mbo(spark, sf_dir)).where("t_buy + t_sell > 0").select("session_date", "instrument_id", "group_id", "t_buy", "t_sell", "t_px_high", "t_px_low")
 
 
-@query("orders_projection")
-def orders_projection(spark, sf_dir):
-    return orders(spark, sf_dir)
-
-
-@query("chains_agg")
-def chains_agg(spark, sf_dir):
-    return replay.chains_frame(orders(spark, sf_dir))
-
-
-@query("session_diagnostics")
-def session_diagnostics(spark, sf_dir):
-    return replay.diagnostics(orders(spark, sf_dir))
-
-
-@query("terminal_states")
-def terminal_states(spark, sf_dir):
-    return replay.terminal_states(orders(spark, sf_dir))
-
-
 QUOTES = """e AS (SELECT event_id, CAST((epoch_us(ts) // 3600000000) * 3600000000000 AS BIGINT) AS ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(floor(value) AS BIGINT) % 20 AS v FROM events),
 f AS (SELECT event_id % 5 AS instrument_id, event_id AS row_seq, ts, ts // 3600000000000 AS u, {cols} FROM e)""".format(cols=", ".join(f"{FLOW[c]} AS {c}" for c in ("valid", "bid_px", "ask_px", "t_buy", "t_sell", "depth_b_near", "depth_b_mid", "depth_a_near", "depth_a_mid")))
 GRID = f"""WITH {QUOTES}, p AS (SELECT instrument_id, u, CAST(sum(t_buy + t_sell) AS BIGINT) AS volume, arg_max((bid_px + ask_px) / 2.0 / 100000000.0, row_seq) FILTER (valid = 1) AS mid, arg_max(depth_b_near + depth_b_mid + depth_a_near + depth_a_mid, row_seq) FILTER (valid = 1) AS depth FROM f GROUP BY ALL),
@@ -235,7 +211,8 @@ def book_incidents(spark, sf_dir):
 
 @query("incident_log")
 def incident_log(spark, sf_dir):
-    return replay.incidents(read_mbo(spark, sf_dir))
+    """Every kind in one log; a limit of records for each session is the feature."""
+    return replay.incident_log(read_mbo(spark, sf_dir))
 
 
 @query("kernel_counters")

@@ -80,3 +80,41 @@ ev AS (
     0 AS channel_id, event_id - CASE WHEN k % 50 = 7 THEN 3 ELSE 0 END AS sequence, event_id % 5 AS instrument_id
   FROM m1
 )"""
+
+
+def read_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record stream of small scenes, one for each event, whose outcome follows from the event by arithmetic.
+
+    A bid and an ask arrive; the bid trades, partly hidden, and is removed; an order follows at its place after a short
+    while, grows and is pulled; then the ask is pulled, or a clear comes with a snapshot order behind it. Prices may be
+    negative and, for some, the book is crossed. An instrument's book is empty between its scenes.
+    """
+    e = read_events(spark, sf_dir).withColumn("v", F.floor("value").cast("bigint"))
+    e = e.selectExpr("event_id AS e", "us", "k", "v", "event_id * 1000000000 AS t", "CASE WHEN k % 3 = 0 THEN -(50 + k) ELSE 10000 - k END * 100000000 AS p", "CASE WHEN k % 11 = 0 THEN 0 ELSE 1 + k % 4 END * 100000000 AS g",
+                     "1 + v % 20 AS a", "1 + k % 7 AS b", "1 + (v + k) % 20 AS c", "(1 + k % 5) * 500000 AS dt")
+    step = "named_struct('n', {n}, 'ts', t + {ts}, 'action', '{action}', 'side', '{side}', 'price', cast({price} as bigint), 'size', cast({size} as bigint), 'oid', cast({oid} as bigint), 'flags', {flags})"
+    scene = [
+        (0, "0", "A", "B", "p", "a", "10 * e + 1", 128), (1, "1000000", "A", "A", "p + g", "b", "10 * e + 2", 128), (2, "2000000", "T", "A", "p", "a + k % 3", "0", 0), (3, "2000000", "F", "B", "p", "a + k % 3", "10 * e + 1", 0),
+        (4, "2000000", "C", "B", "p", "a", "10 * e + 1", 128), (5, "2000000 + dt", "A", "B", "p", "c", "10 * e + 3", 128), (6, "6000000", "M", "B", "p", "c + 1", "10 * e + 3", 128), (7, "7000000", "C", "B", "p", "c + 1", "10 * e + 3", 128),
+    ]
+    pulled = [(8, "8000000", "C", "A", "p + g", "b", "10 * e + 2", 128)]
+    cleared = [(8, "8000000", "R", "N", "0", "0", "0", 0), (9, "8000000", "A", "B", "p", "2", "10 * e + 4", 160), (10, "9000000", "C", "B", "p", "2", "10 * e + 4", 128)]
+    listed = lambda steps: "array(" + ", ".join(step.format(n=n, ts=ts, action=action, side=side, price=price, size=size, oid=oid, flags=flags) for n, ts, action, side, price, size, oid, flags in steps) + ")"
+    rows = e.withColumn("s", F.explode(F.expr(f"concat({listed(scene)}, if(k % 2 = 0, {listed(cleared)}, {listed(pulled)}))")))
+    return rows.select(
+        F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("us") / 86_400_000_000).cast("int")).alias("session_date"), (F.col("e") * 20 + F.col("s.n")).alias("seq"), F.col("s.ts").alias("ts_event"), F.col("s.action").alias("action"), F.col("s.side").alias("side"),
+        F.col("s.price").alias("price"), F.col("s.size").alias("size"), F.col("s.oid").alias("order_id"), F.col("s.flags").alias("flags"), F.lit(0).alias("channel_id"), (F.col("e") * 20 + F.col("s.n")).alias("sequence"), (F.col("e") % 5).alias("instrument_id"),
+    )
+
+
+#: The numbers of a scene for DuckDB; what comes of it is written down by the queries' own SQL, not replayed.
+SCENE_SQL = """
+scene AS (
+  SELECT event_id AS e, CAST(make_date(CAST(epoch_us(ts) // 86400000000 AS INTEGER)) AS DATE) AS session_date, event_id % 5 AS instrument_id, event_id * 1000000000 AS t,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(floor(value) AS BIGINT) AS v FROM events
+), act AS (
+  SELECT *, CAST(CASE WHEN k % 3 = 0 THEN -(50 + k) ELSE 10000 - k END AS BIGINT) * 100000000 AS p, CAST(CASE WHEN k % 11 = 0 THEN 0 ELSE 1 + k % 4 END AS BIGINT) * 100000000 AS g,
+    1 + v % 20 AS a, 1 + k % 7 AS b, 1 + (v + k) % 20 AS c, (1 + k % 5) * 500000 AS dt FROM scene
+), play AS (
+  SELECT *, a + k % 3 AS f, dt <= 2000000 AND c <= a AS linked, (1 - 0.5 * dt / 2000000) * CASE WHEN c = a THEN 1.0 ELSE 0.75 END AS conf, k % 2 = 0 AS cleared FROM act
+)"""

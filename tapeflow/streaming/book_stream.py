@@ -1,7 +1,8 @@
 """The streaming twin of the batch replay: the same kernel, its state kept for each session of the feed.
 
 A session is the unit of order, so it is the key: groups span instruments and are numbered inside the state. Rows of a
-trigger are sorted by seq. ``withWatermark`` on the input only lets old sessions' state go; late rows are processed.
+trigger are sorted by seq. State ends with the session: at its end mark, or, where a feed may lose that, after a timeout.
+Records that come after the end begin a new state.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class Feed:
         for i in sorted(self.engines):
             engine = self.engines[i]
             out += getattr(engine, what)
-            engine.lifecycle.clear() if what == "lifecycle" else engine.lifecycle.__delitem__(slice(None, -1000))
+            engine.lifecycle.clear()
             engine.flow.clear()
         return out
 
@@ -47,22 +48,27 @@ class Feed:
             self.engines[i].finish()
 
 
-def _streamed(what: str, fields: list[str], settings: Settings):
+def _streamed(what: str, fields: list[str], settings: Settings, timeout_ms: int | None):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         feed: Feed = pickle.loads(state.get[0]) if state.exists else Feed(settings)
-        parts = [f for f in frames if len(f)]
+        done = state.hasTimedOut
+        parts = [] if done else [f for f in frames if len(f)]
         if parts:
-            rows = pd.concat(parts).sort_values("seq")
-            done = False
-            for r in rows.to_dict("records"):
+            for r in pd.concat(parts).sort_values("seq").to_dict("records"):
                 if r["action"] == "E":  # an end mark closes the session
                     done = True
                     continue
                 feed.feed(r)
-            if done:
-                feed.finish()
+        if done:
+            feed.finish()
         out = feed.take(what)
-        state.update((pickle.dumps(feed),))
+        if done:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((pickle.dumps(feed),))
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         frame = pd.DataFrame(out, columns=fields[1:])
         frame.insert(0, fields[0], key[0])
         yield frame
@@ -70,11 +76,13 @@ def _streamed(what: str, fields: list[str], settings: Settings):
     return run
 
 
-def stream(mbo: DataFrame, what: str = "flow", settings: Settings = Settings()) -> DataFrame:
+def stream(mbo: DataFrame, what: str = "flow", settings: Settings = Settings(), timeout_ms: int | None = None) -> DataFrame:
     """A streaming frame of records -> streaming frame of flow or lifecycle rows, as ``replay`` gives in batch.
 
-    A record with action ``E`` ends a session: the open group and resting orders are flushed.
+    A record with action ``E`` ends a session: the open group and resting orders are flushed and the state goes. With
+    ``timeout_ms`` a session without records for so long ends as well.
     """
     schema = f"session_date date, {FLOW if what == 'flow' else LIFECYCLE}"
     fields = [x.split()[0] for x in schema.split(", ")]
-    return mbo.groupBy("session_date").applyInPandasWithState(_streamed(what, fields, settings), schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+    kind = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return mbo.groupBy("session_date").applyInPandasWithState(_streamed(what, fields, settings, timeout_ms), schema, "state binary", "append", kind)

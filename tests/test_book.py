@@ -77,7 +77,7 @@ def test_refill_chain_and_hidden_fill():
     feed(e, (10, "A", "A", p, 5, 1), (20, "F", "A", p, 8, 1), (20, "C", "A", p, 5, 1), (1020, "A", "A", p, 5, 2))
     e.finish()
     first, second = e.lifecycle
-    assert first["final_state"] == "filled" and first["chain_id"] == second["chain_id"] == 1 and second["chain_index"] == 1
+    assert first["final_state"] == "filled" and first["chain_id"] == second["chain_id"] == 1 and second["chain_index"] == 1  # the root's id
     assert second["link_confidence"] == pytest.approx(1 - 0.5 * 1000 / 2_000_000)
     flow = {r["ts"]: r for r in e.flow}
     assert flow[20]["hidden_a"] == 3 and flow[20]["term_filled"] == 1 and flow[1020]["refill_a"] == 1
@@ -92,6 +92,31 @@ def test_a_group_of_modifies_alone_gives_no_row_and_clears_discard():
     assert {r["final_state"] for r in e.lifecycle} == {"cleared"}
 
 
+def test_refills_larger_than_the_clip_are_none_and_every_fill_roots_a_chain():
+    e, p = Instrument(1), 100 * PX
+    feed(e, (10, "A", "A", p, 5, 7), (20, "F", "A", p, 5, 7), (20, "C", "A", p, 5, 7), (30, "A", "A", p, 8, 9), (40, "A", "A", p, 5, 11), (50, "C", "A", p, 5, 11), (60, "C", "A", p, 8, 9))
+    rows = {r["order_id"]: r for r in e.lifecycle}
+    assert rows[7]["chain_id"] == 7 and rows[9]["chain_id"] == 0 and rows[11]["chain_id"] == 7 and rows[11]["chain_index"] == 1
+    assert sum(r["refill_a"] for r in e.flow) == 1
+
+
+def test_rows_after_a_clear_in_its_group_and_sides_that_were_empty():
+    e = Instrument(1)
+    feed(e, (1, "A", "B", PX, 5, 1), (2, "R", "N", 0, 0, 0), (2, "A", "B", PX, 4, 2), (3, "A", "B", PX, 3, 3), (4, "A", "A", 2 * PX, 7, 4))
+    e.finish()
+    assert [r["ts"] for r in e.flow] == [1, 2, 3, 4]
+    assert [r["flow_b_1"] for r in e.flow] == [0, 0, 3, 0] and e.flow[3]["flow_a_1"] == 0 and e.flow[1]["add_best_b"] == 4
+
+
+def test_prices_below_zero_and_mid_distances():
+    e = Instrument(1)
+    feed(e, (1, "T", "B", -50, 1, 0), (1, "T", "A", -70, 1, 0), (2, "A", "B", -3 * TICK, 1, 1), (3, "A", "A", TICK, 1, 2), (4, "C", "B", -3 * TICK, 1, 1))
+    e.finish()
+    assert (e.flow[0]["t_px_high"], e.flow[0]["t_px_low"]) == (-50, -70)
+    rows = {r["order_id"]: r for r in e.lifecycle}
+    assert rows[1]["dist_mid2_at_add"] is None and rows[1]["dist_mid2_at_term"] == 4 * TICK and rows[2]["dist_mid2_at_add"] == 4 * TICK and rows[2]["dist_mid2_at_term"] is None
+
+
 def test_level_view_and_order_view_agree(spark):
     resting = book.resting_orders(frame(spark, random_stream(300, 4)))
     assert book.audit_levels(resting, book.top_levels(resting, 1000)).count() == 0
