@@ -11,6 +11,8 @@ from tapeflow.sources.events import read_events
 HOUR = 3_600_000_000_000
 SPEC = X.Spec(s=2 * HOUR, m=6 * HOUR, l=24 * HOUR, reclaim=6 * HOUR)
 KEYS = ["instrument_id"]
+#: A session's stream of an instrument: windows of features never cross it, and it is the unit of parallelism.
+STREAM = ["session_date", "instrument_id"]
 
 #: Portable expressions over event_id, k, v (value as a whole number): a stand-in for every column of a flow row.
 FLOW: dict[str, str] = {
@@ -42,78 +44,151 @@ FLOW: dict[str, str] = {
     "refill_conf_sum": "(v % 2) * 0.5",
     "age_best_b": "v * 1000000000",
     "age_best_a": "k * 1000000000",
+    "stall_scale": "CASE WHEN k % 4 > 0 THEN CAST(0.1 AS DOUBLE) / (CAST(0.05 AS DOUBLE) + k % 3) END",
 }
 
 
 def flow_rows(spark, sf_dir):
     e = read_events(spark, sf_dir).withColumn("v", F.floor("value") % 20)
-    return e.select((F.col("event_id") % 5).alias("instrument_id"), F.col("event_id").alias("row_seq"), (F.floor(F.col("us") / 3_600_000_000) * HOUR).alias("ts"), *(F.expr(x).alias(n) for n, x in FLOW.items()))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("us") / 86_400_000_000).cast("int"))
+    return e.select(day.alias("session_date"), (F.col("event_id") % 5).alias("instrument_id"), F.col("event_id").alias("row_seq"), (F.floor(F.col("us") / 3_600_000_000) * HOUR).alias("ts"), *(F.expr(x).alias(n) for n, x in FLOW.items()))
 
 
-def _sql() -> str:
-    h = {"s": SPEC.s, "m": SPEC.m, "l": SPEC.l}
-    tick = "100000000.0"
+PART = "PARTITION BY session_date, instrument_id"
+H = {"s": SPEC.s, "m": SPEC.m, "l": SPEC.l}
+
+
+def _two(f: str, e: str, k: int) -> tuple[str, str]:
+    """An aggregate over the rows of strictly earlier times within the horizon, and over the row's own time so far."""
+    return f"{f}({e}) OVER ({PART} ORDER BY ts RANGE BETWEEN {k - 1} PRECEDING AND 1 PRECEDING)", f"{f}({e}) OVER ({PART}, ts ORDER BY row_seq ROWS UNBOUNDED PRECEDING)"
+
+
+def _total(e: str, h: str) -> str:
+    a, b = _two("sum", e, H[h])
+    return f"(coalesce({a}, 0) + coalesce({b}, 0))"
 
-    def two(f: str, e: str, k: int) -> tuple[str, str]:
-        return (f"{f}({e}) OVER (PARTITION BY instrument_id ORDER BY ts RANGE BETWEEN {k - 1} PRECEDING AND 1 PRECEDING)", f"{f}({e}) OVER (PARTITION BY instrument_id, ts ORDER BY row_seq ROWS UNBOUNDED PRECEDING)")
 
-    def total(e: str, k: int) -> str:
-        a, b = two("sum", e, k)
-        return f"(coalesce({a}, 0) + coalesce({b}, 0))"
+def _number(e: str, h: str) -> str:
+    a, b = _two("count", e, H[h])
+    return f"({a} + {b})"
 
-    def count(e: str, k: int) -> str:
-        a, b = two("count", e, k)
-        return f"({a} + {b})"
 
-    def low(e: str, k: int) -> str:
-        a, b = two("min", e, k)
-        return f"least({a}, {b})"
+def _least(e: str, h: str) -> str:
+    a, b = _two("min", e, H[h])
+    return f"least({a}, {b})"
 
-    order = "(PARTITION BY instrument_id ORDER BY ts, row_seq)"
-    so_far = "(PARTITION BY instrument_id ORDER BY ts, row_seq ROWS UNBOUNDED PRECEDING)"
-    sums = ", ".join(f"{total(e, h[k])} AS {n}_{k}" for n, (e, ks) in X.SUMS.items() for k in ks)
-    past = lambda k: f"(SELECT arg_max(p.mid, p.row_seq) FROM b p WHERE p.instrument_id = c.instrument_id AND p.ts = (SELECT max(q.ts) FROM b q WHERE q.instrument_id = c.instrument_id AND q.ts <= c.ts - {h[k]} AND q.mid IS NOT NULL) AND p.mid IS NOT NULL)"
+
+def _sql() -> str:
+    """Rows with what the formulas need besides sums: mids, past mids, sweeps and their ends."""
+    order = f"({PART} ORDER BY ts, row_seq)"
+    so_far = f"({PART} ORDER BY ts, row_seq ROWS UNBOUNDED PRECEDING)"
+    same = "p.session_date = c.session_date AND p.instrument_id = c.instrument_id"
+    past = lambda k: f"(SELECT arg_max(p.mid, p.row_seq) FROM b p WHERE {same} AND p.ts = (SELECT max(q.ts) FROM b q WHERE {same.replace('p.', 'q.')} AND q.ts <= c.ts - {H[k]} AND q.mid IS NOT NULL) AND p.mid IS NOT NULL)"
     return f"""WITH e AS (
-  SELECT event_id, CAST((epoch_us(ts) // 3600000000) * 3600000000000 AS BIGINT) AS ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(floor(value) AS BIGINT) % 20 AS v FROM events
+  SELECT event_id, CAST(make_date(CAST(epoch_us(ts) // 86400000000 AS INTEGER)) AS DATE) AS session_date, CAST((epoch_us(ts) // 3600000000) * 3600000000000 AS BIGINT) AS ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(floor(value) AS BIGINT) % 20 AS v FROM events
 ), f AS (
-  SELECT event_id % 5 AS instrument_id, event_id AS row_seq, ts, CAST(NULL AS DOUBLE) AS stall_scale, {", ".join(f"{x} AS {n}" for n, x in FLOW.items())} FROM e
+  SELECT session_date, event_id % 5 AS instrument_id, event_id AS row_seq, ts, {", ".join(f"{x} AS {n}" for n, x in FLOW.items())} FROM e
 ), a AS (
-  SELECT *, last_value(CASE WHEN valid = 1 THEN (bid_px + ask_px) / 2.0 / {tick} END IGNORE NULLS) OVER {so_far} AS mid0 FROM f
+  SELECT *, last_value(CASE WHEN valid = 1 THEN (bid_px + ask_px) / 2.0 / 1e8 END IGNORE NULLS) OVER {so_far} AS mid0 FROM f
 ), a1 AS (
   SELECT *, CAST(mid0 AS DOUBLE) AS mid, CAST(lag(mid0) OVER {order} AS DOUBLE) AS pre_mid FROM a
 ), b AS (
-  SELECT *, CASE WHEN valid = 1 THEN abs(mid - pre_mid) END AS moved, CAST(CASE WHEN valid = 1 THEN (ask_px - bid_px) / {tick} END AS DOUBLE) AS spread,
-    depth_b_near + depth_b_mid + depth_b_deep AS total_b, depth_a_near + depth_a_mid + depth_a_deep AS total_a,
-    (t_buy > 0 OR t_sell > 0) AND ((t_buy > 0) <> (t_sell > 0)) AND (t_px_high - t_px_low) / {tick} + 1 >= {SPEC.sweep_levels} AND mid IS NOT NULL AS sweeps,
-    CAST((t_px_high - t_px_low) / {tick} AS DOUBLE) AS swept, t_buy > 0 AS up FROM a1
+  SELECT *, CASE WHEN valid = 1 THEN abs(mid - pre_mid) END AS moved, t_buy + t_sell > 0 AND (t_buy > 0) <> (t_sell > 0) AND (t_px_high - t_px_low) / 1e8 + 1 >= {SPEC.sweep_levels} AND mid IS NOT NULL AS sweeps,
+    CAST((t_px_high - t_px_low) / 1e8 AS DOUBLE) AS swept, t_buy > 0 AS up FROM a1
 ), c0 AS (
-  SELECT *, CASE WHEN sweeps AND up THEN swept ELSE 0 END AS sweep_up, CASE WHEN sweeps AND NOT up THEN swept ELSE 0 END AS sweep_down, sum(CASE WHEN sweeps THEN 1 ELSE 0 END) OVER {so_far} AS sweep_n FROM b
+  SELECT *, sum(CASE WHEN sweeps THEN 1 ELSE 0 END) OVER {so_far} AS sweep_n FROM b
 ), c AS (
   SELECT *, max(CASE WHEN sweeps THEN ts END) OVER g AS sweep_ts, max(CASE WHEN sweeps THEN CASE WHEN up THEN 1.0 ELSE -1.0 END END) OVER g AS sweep_dir0,
-    max(CASE WHEN sweeps THEN coalesce(pre_mid, mid) END) OVER g AS sweep_from, max(CASE WHEN sweeps THEN CAST(CASE WHEN up THEN t_px_high ELSE t_px_low END / {tick} AS DOUBLE) END) OVER g AS sweep_to
-  FROM c0 WINDOW g AS (PARTITION BY instrument_id, sweep_n)
+    max(CASE WHEN sweeps THEN coalesce(pre_mid, mid) END) OVER g AS sweep_from, max(CASE WHEN sweeps THEN CAST(CASE WHEN up THEN t_px_high ELSE t_px_low END / 1e8 AS DOUBLE) END) OVER g AS sweep_to
+  FROM c0 WINDOW g AS ({PART}, sweep_n)
 ), d0 AS (
-  SELECT *, {sums}, {total("moved", h["m"])} AS path_now, {past("s")} AS past_s, {past("m")} AS past_m, {low("depth_b_near", h["m"])} AS low_b, {low("depth_a_near", h["m"])} AS low_a, {count("depth_b_near", h["l"])} AS near_n,
-    coalesce(ts - sweep_ts <= {SPEC.reclaim}, false) AS live, coalesce(CAST(sweep_dir0 AS DOUBLE), 0) AS sweep_dir FROM c
+  SELECT *, {_total("moved", "m")} AS path_now, {past("s")} AS past_s, {past("m")} AS past_m, coalesce(ts - sweep_ts <= {SPEC.reclaim}, false) AS live, coalesce(CAST(sweep_dir0 AS DOUBLE), 0) AS sweep_dir FROM c
 ), d AS (
-  SELECT *, CASE WHEN live AND abs(sweep_to - sweep_from) > 0 THEN least(greatest((CASE WHEN sweep_dir > 0 THEN sweep_to - mid ELSE mid - sweep_to END) / abs(sweep_to - sweep_from), 0), 1) ELSE 0.0 END AS score FROM d0
+  SELECT *, CASE WHEN live AND abs(sweep_to - sweep_from) > 0 THEN least(greatest((CASE WHEN sweep_dir > 0 THEN sweep_to - mid ELSE mid - sweep_to END) / abs(sweep_to - sweep_from), 0), 1) ELSE 0.0 END AS retraced FROM d0
 ), e1 AS (
-  SELECT *, coalesce(last_value(CASE WHEN valid = 1 THEN path_now END IGNORE NULLS) OVER {so_far}, 0) AS path_held, max(score) OVER (PARTITION BY instrument_id, sweep_n ORDER BY ts, row_seq ROWS UNBOUNDED PRECEDING) AS top FROM d
+  SELECT *, coalesce(last_value(CASE WHEN valid = 1 THEN path_now END IGNORE NULLS) OVER {so_far}, 0) AS path, max(retraced) OVER ({PART}, sweep_n ORDER BY ts, row_seq ROWS UNBOUNDED PRECEDING) AS most FROM d
 ), e2 AS (
-  SELECT *, CASE WHEN lag(live) OVER w AND (sweeps OR NOT live) AND lag(top) OVER w >= {SPEC.failed_retrace} THEN lag(sweep_dir) OVER w END AS failed_dir FROM e1 WINDOW w AS {order}
-), e3 AS (
-  SELECT *, {count("failed_dir", h["l"])} AS failed_n, {total("failed_dir", h["l"])} AS failed_sum FROM e2
+  SELECT *, CASE WHEN lag(live) OVER w AND (sweeps OR NOT live) AND lag(most) OVER w >= {SPEC.failed_retrace} THEN lag(sweep_dir) OVER w END AS failed FROM e1 WINDOW w AS {order}
 )"""
 
 
+def _ratio(a: str, b: str, neutral: str = "0.0") -> str:
+    return f"CASE WHEN ({b}) > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE {neutral} END"
+
+
+def _stated() -> dict[str, str]:
+    """Every feature as its definition states it, over the columns of a flow row; nothing of the engine's own formulas."""
+    T, N, R = _total, _number, _ratio  # noqa: N806
+    share = f"{SPEC.s}.0 / {SPEC.l}"
+    out = {"mid_ticks": "mid", "spread_ticks": "CASE WHEN valid = 1 THEN (ask_px - bid_px) / 1e8 END"}
+    for h in "sml":
+        buy, sell = T("t_buy", h), T("t_sell", h)
+        out[f"aggr_delta_{h}"], out[f"aggr_delta_ratio_{h}"] = f"{buy} - {sell}", R(f"{buy} - {sell}", f"{buy} + {sell}")
+    progress = {h: f"coalesce(mid - past_{h}, 0)" for h in "sm"}
+    out |= {f"price_progress_ticks_{h}": x for h, x in progress.items()}
+    out["directional_efficiency_m"] = R(f"abs({progress['m']})", "path")
+    out["price_impact_m"] = R(f"abs({progress['m']})", T("t_buy + t_sell", "m"))
+    stall = f"1.0 / (1.0 + abs({progress['s']}) * coalesce(stall_scale, 1.0))"
+    burst = lambda e: R(T(e, "s"), f"{T(e, 's')} + {T(e, 'l')} * {share}")
+    restored = lambda x, h: R(T(f"add_best_{x}", h), T(f"add_best_{x} + fill_{x} + pull_best_{x}", h), "0.5")
+    out["absorption_bid_s"] = f"({burst('t_sell')}) * ({stall}) * ({restored('b', 's')})"
+    out["absorption_ask_s"] = f"({burst('t_buy')}) * ({stall}) * ({restored('a', 's')})"
+    out["trade_burst_intensity_s"] = burst("t_buy_n + t_sell_n")
+    freed = R(T("refill_conf_sum", "l"), T("refill_b + refill_a", "l"))
+    for side, x in (("bid", "b"), ("ask", "a")):
+        out[f"replenish_{side}_m"] = restored(x, "m")
+        out[f"stacking_{side}_m"] = R(T(f"add_near_{x} - pull_near_{x}", "m"), T(f"add_near_{x} + pull_near_{x}", "m"))
+        out[f"queue_depletion_{side}_s"] = R(T(f"fill_{x}", "s"), f"{T(f'fill_{x}', 's')} + {side}_sz")
+        out[f"queue_turnover_{side}_m"] = R(T(f"add_best_{x} + pull_best_{x}", "m"), f"{T(f'add_best_{x} + pull_best_{x}', 'm')} + {side}_sz")
+        often = R(T(f"refill_{x}", "l"), f"{T(f'refill_{x}', 'l')} + {SPEC.iceberg_k}")
+        hidden = R(T(f"hidden_{x}", "l"), T(f"hidden_{x} + fill_{x}", "l"))
+        out[f"iceberg_score_{side}_l"] = f"1.0 - (1.0 - ({often}) * ({freed})) * (1.0 - ({hidden}))"
+        mean, low = f"({T(f'depth_{x}_near', 'l')} * 1.0 / {N(f'depth_{x}_near', 'l')})", _least(f"depth_{x}_near", "m")
+        out[f"liquidity_vacuum_{'down' if x == 'b' else 'up'}"] = f"CASE WHEN {mean} <> 0 THEN 1.0 - ({R(f'depth_{x}_near', f'depth_{x}_near + {mean}', '0.5')}) ELSE 0.5 END"
+        out[f"book_resiliency_{side}"] = f"CASE WHEN {mean} <= {low} THEN 1.0 ELSE least(greatest((depth_{x}_near - {low}) / ({mean} - {low}), 0.0), 1.0) END"
+        out[f"liquidity_age_{side}_s"] = f"age_best_{x} / 1e9"
+    bands = {"1": "flow_b_1 - flow_a_1", "near": "flow_b_1 + flow_b_2 + flow_b_3 - flow_a_1 - flow_a_2 - flow_a_3", "middle": "flow_b_4 + flow_b_5 + flow_b_6 - flow_a_4 - flow_a_5 - flow_a_6", "deep": "flow_b_7 + flow_b_8 + flow_b_9 + flow_b_10 - flow_a_7 - flow_a_8 - flow_a_9 - flow_a_10"}
+    out |= {f"mlofi_{n}_{h}": T(bands[n], h) for n, h in (("1", "s"), ("near", "s"), ("middle", "s"), ("deep", "s"), ("near", "m"), ("middle", "m"), ("deep", "m"))}
+    gross = {"1": "abs(flow_b_1) + abs(flow_a_1)", "near": "abs(flow_b_1) + abs(flow_b_2) + abs(flow_b_3) + abs(flow_a_1) + abs(flow_a_2) + abs(flow_a_3)"}
+    out |= {f"flow_imbalance_{n}_{h}": R(T(bands[n], h), T(gross[n], h)) for n, h in (("1", "s"), ("near", "s"), ("near", "m"))}
+    out["book_imbalance_l1"] = f"CASE WHEN valid = 1 THEN {R('bid_sz - ask_sz', 'bid_sz + ask_sz')} ELSE 0.0 END"
+    out["book_imbalance_near"] = R("depth_b_near - depth_a_near", "depth_b_near + depth_a_near")
+    whole_b, whole_a = "(depth_b_near + depth_b_mid + depth_b_deep)", "(depth_a_near + depth_a_mid + depth_a_deep)"
+    out["book_imbalance_total"] = R(f"{whole_b} - {whole_a}", f"{whole_b} + {whole_a}")
+    outer_b, outer_a = "(depth_b_mid + depth_b_deep)", "(depth_a_mid + depth_a_deep)"
+    out["book_imbalance_outer"] = R(f"{outer_b} - {outer_a}", f"{outer_b} + {outer_a}")
+    out["depth_concentration_tilt"] = f"({R('depth_b_near', whole_b, '0.5')}) - ({R('depth_a_near', whole_a, '0.5')})"
+    out["microprice_disp_ticks"] = "CASE WHEN valid = 1 AND bid_sz + ask_sz > 0 THEN (CAST(bid_px AS DOUBLE) * ask_sz + CAST(ask_px AS DOUBLE) * bid_sz) / (bid_sz + ask_sz) / 1e8 - mid ELSE 0.0 END"
+    out["sweep_buy_ticks_m"], out["sweep_sell_ticks_m"] = T("CASE WHEN sweeps AND up THEN swept ELSE 0 END", "m"), T("CASE WHEN sweeps AND NOT up THEN swept ELSE 0 END", "m")
+    out["sweep_failure_score"], out["sweep_failure_signed"] = "retraced", "-sweep_dir * retraced + 0.0"
+    out["failed_sweeps_l"] = N("failed", "l")
+    out["failed_sweep_net_ratio_l"] = f"-({R(T('failed', 'l'), N('failed', 'l'))}) + 0.0"
+    out["liquidity_survival_ratio_l"] = R(T("term_filled", "l"), T("term_filled + term_pulled_touched", "l"), "0.5")
+    out["cancel_before_touch_rate_l"] = R(T("term_pulled_untouched", "l"), T("term_pulled_touched + term_pulled_untouched", "l"), "0.5")
+    out["order_lifetime_ms_l"] = f"({R(T('life_filled_sum + life_pulled_sum', 'l'), T('term_filled + term_pulled_touched + term_pulled_untouched', 'l'))}) / 1e6"
+    out["order_lifetime_chain_adj_ms_l"] = f"({R(T('life_filled_unchained_sum + life_pulled_unchained_sum', 'l'), T('term_filled_unchained + term_pulled_unchained', 'l'))}) / 1e6"
+    out["liquidity_age_imbalance"] = R("age_best_b - age_best_a", "age_best_b + age_best_a")
+    out |= {f"fill_imbalance_{h}": R(T("fill_a - fill_b", h), T("fill_a + fill_b", h)) for h in "sm"}
+    out["hidden_fill_imbalance_l"] = R(T("hidden_b - hidden_a", "l"), T("hidden_b + hidden_a", "l"))
+    out["pull_imbalance_m"] = R(T("pull_best_a + pull_near_a - pull_best_b - pull_near_b", "m"), T("pull_best_a + pull_near_a + pull_best_b + pull_near_b", "m"))
+    minus = {
+        "absorption_net_s": ("absorption_bid_s", "absorption_ask_s"), "stacking_net_m": ("stacking_bid_m", "stacking_ask_m"), "iceberg_asym_l": ("iceberg_score_bid_l", "iceberg_score_ask_l"), "vacuum_tilt": ("liquidity_vacuum_up", "liquidity_vacuum_down"),
+        "resiliency_tilt": ("book_resiliency_bid", "book_resiliency_ask"), "depletion_tilt_s": ("queue_depletion_ask_s", "queue_depletion_bid_s"), "replenish_tilt_m": ("replenish_bid_m", "replenish_ask_m"), "turnover_tilt_m": ("queue_turnover_bid_m", "queue_turnover_ask_m"),
+        "imbalance_tilt": ("book_imbalance_near", "book_imbalance_outer"), "sweep_net_ticks_m": ("sweep_buy_ticks_m", "sweep_sell_ticks_m"),
+    }
+    return out | {n: f"({out[a]}) - ({out[b]})" for n, (a, b) in minus.items()}
+
+
+STATED = _stated()
+
+
 def _family(name: str, members: list[str]) -> None:
-    known = dict(X.formulas(SPEC))
-    columns = ", ".join(f"CAST(round({known[m]}, 6) AS DOUBLE) AS {m}" for m in members)
+    columns = ", ".join(f"CAST(round(CAST({STATED[m]} AS DOUBLE), 6) + 0.0 AS DOUBLE) AS {m}" for m in members)
 
-    @query(name, f"{_sql()} SELECT instrument_id, row_seq, {columns} FROM e3")
+    @query(name, f"{_sql()} SELECT session_date, instrument_id, row_seq, {columns} FROM e2")
     def run(spark, sf_dir):
-        out = X.features(flow_rows(spark, sf_dir), KEYS, SPEC)
-        return out.select("instrument_id", "row_seq", *(F.round(m, 6).alias(m) for m in members))
+        out = X.features(flow_rows(spark, sf_dir), STREAM, SPEC)
+        return out.select(*STREAM, "row_seq", *(F.round(m, 6).alias(m) for m in members))
 
 
 FAMILIES = {
@@ -139,4 +214,4 @@ for _name, _members in FAMILIES.items():
 @query("order_flow_features")
 def order_flow_features(spark, sf_dir):
     """All features of every row at once."""
-    return X.features(flow_rows(spark, sf_dir), KEYS, SPEC)
+    return X.features(flow_rows(spark, sf_dir), STREAM, SPEC)
