@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -96,6 +98,13 @@ def held_out(col: str, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers are reused, and what one task took would stay with the next ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the text of a slice stays near ``most_bytes`` (one row may be longer)."""
     for batch in batches:
@@ -105,6 +114,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 <
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    release()
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -128,6 +138,7 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+    release()
 
 
 def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

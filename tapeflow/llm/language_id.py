@@ -30,7 +30,7 @@ from tapeflow.llm.common import Scratch, slices
 DOCS, CHARS = 60, 24_000
 #: A passage: so many characters of a text, taken at any place of it.
 PASSAGE = 400
-STRETCH, SLICE = 8192, 4 << 20
+STRETCH, SLICE = 4096, 1 << 20
 #: States of the parser that advance together at most.
 LANES = 1 << 16
 #: A document of the pipeline goes if its winner's lead over the next language is below this share.
@@ -154,8 +154,8 @@ class Model:
         kept = code != _BLANK
         kept[1:] |= code[:-1] != _BLANK
         kept[at[:-1]] = True
-        before = np.concatenate(([0], np.cumsum(kept)))
-        letters = np.concatenate(([0], np.cumsum(kinds()[points] == 1)))
+        before = np.concatenate(([0], np.cumsum(kept, dtype=np.int32)))
+        letters = np.concatenate(([0], np.cumsum(kinds()[points] == 1, dtype=np.int32)))
         return code[kept], before[at], letters[at[1:]] > letters[at[:-1]]
 
     def phrases(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
