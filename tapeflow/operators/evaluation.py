@@ -138,3 +138,21 @@ def frame_from_json(spark, text: str) -> DataFrame:
 
     found = json.loads(text)
     return spark.createDataFrame([tuple(found.values())], ", ".join(f"`{k}` double" for k in found))
+
+
+def load_fold(samples: DataFrame, folds: DataFrame, fold: int, h: int, embargo: int = 600 * NANOS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, eval, audit) of a fold: trainable samples of its sessions, training rows purged against the evaluation.
+
+    samples: session_date, ts, label_end_ts, h<h>_trainable, h<h>_uniqueness; folds: fold, role, session_date. Labels of
+    training rows end before the evaluation begins. audit is one row; an evaluation without rows purges nothing.
+    """
+    days = folds.where(F.col("fold") == fold)
+    named = lambda role: samples.where(F.col(f"h{h}_trainable") == 1).join(days.where(F.col("role") == role).select("session_date"), "session_date", "left_semi")
+    train, held = named("train"), named("eval")
+    start = held.agg(F.min("ts")).first()[0]
+    kept = train if start is None else purge(train, start, embargo)
+    far = start if start is not None else (1 << 62)
+    audit = purge_audit(train, far, embargo if start is not None else 0, f"h{h}_uniqueness", f"h{h}_trainable")
+    more = held.agg(F.count(F.lit(1)).alias("eval_rows"), F.coalesce(F.sum(f"h{h}_uniqueness"), F.lit(0.0)).alias("eval_effective_n"))
+    dropped = days.where(F.col("role") == "embargo").agg(F.count(F.lit(1)).alias("embargo_sessions"))
+    return kept, held, audit.join(more).join(dropped)  # one row each

@@ -10,7 +10,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tapeflow.operators.folds import fold
 from tapeflow.operators.windows import Clock, carried, past_value, rolling_count, rolling_min, rolling_sum
 from tapeflow.schema import NANOS, TICK
 
@@ -171,8 +173,6 @@ def with_windows(flow: DataFrame, keys: list[str], spec: Spec = Spec(), seq: str
         }
     )
     # The path window moves on valid rows only; between them its last sum stands.
-    from pyspark.sql.window import Window
-
     in_sweep = Window.partitionBy(*keys, "_sweep_n").orderBy("ts", seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.withColumns({"path_held": F.coalesce(carried(c, F.when(F.col("valid") == 1, F.col("path_now"))), F.lit(0.0)), "_top": F.max("score").over(in_sweep)})
     before = c.rows()
@@ -193,16 +193,15 @@ def features(flow: DataFrame, keys: list[str], spec: Spec = Spec(), seq: str = "
 def sampled(rows: DataFrame, keys: list[str], every: int, seq: str = "row_seq") -> DataFrame:
     """Rows with ts at or after the next due time (which then moves to ts + every), and the last row of a stream; all for 0.
 
-    The due time depends on the rows kept before, so this is a fold over a stream's times, in order.
+    The due time depends on the rows kept before, so this is a fold over a stream.
     """
     if every <= 0:
         return rows
-    times = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ts", seq))).alias("_t"))
-    zero = F.struct(F.lit(None).cast("bigint").alias("due"), F.array().cast(f"array<{dict(rows.dtypes)[seq]}>").alias("kept"))
 
-    def step(a, x):
-        take = a["due"].isNull() | (x["ts"] >= a["due"])
-        return F.struct(F.when(take, x["ts"] + F.lit(every)).otherwise(a["due"]).alias("due"), F.when(take, F.concat(a["kept"], F.array(x[seq]))).otherwise(a["kept"]).alias("kept"))
+    def step(due, ts, last):
+        if due is None or ts >= due:
+            return ts + every, (True,)
+        return due, (last,)
 
-    kept = F.array_union(F.aggregate("_t", zero, step, lambda a: a["kept"]), F.array(F.element_at("_t", -1)[seq]))
-    return rows.join(times.select(*keys, F.explode(kept).alias(seq)), [*keys, seq], "left_semi")
+    ended = F.lead(seq).over(Window.partitionBy(*keys).orderBy("ts", seq)).isNull()
+    return fold(rows.withColumn("_last", ended), keys, ["ts", seq], ["ts", "_last"], lambda: None, step, [("_kept", "boolean")]).where("_kept").drop("_kept", "_last")

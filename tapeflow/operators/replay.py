@@ -77,8 +77,11 @@ def lifecycle(mbo: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return _run(mbo, "lifecycle", LIFECYCLE, settings)
 
 
-def flow(mbo: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row for each group that touched an instrument."""
+def flow(mbo: DataFrame, settings: Settings = Settings(), lifecycle: bool = True) -> DataFrame:
+    """One row for each group that touched an instrument. Terminations and refills come from the lifecycles, so a flow
+    without them is refused."""
+    if not lifecycle:
+        raise ValueError("flow rows need the lifecycles of orders")
     return _run(mbo, "flow", FLOW, settings)
 
 

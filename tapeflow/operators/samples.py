@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tapeflow.operators.folds import Ranks, fold
 from tapeflow.operators.windows import Clock, ring
 from tapeflow.schema import NANOS
 
@@ -49,21 +50,17 @@ def greedy_pick(candidates: DataFrame, keys: Sequence[str], gap: int = NANOS //
     """The rows that a pass in time order keeps: an event kind at most ``cap`` times, then at least ``gap`` after the last kept row.
 
     candidates: rows with trigger and active (whether scales are warm). What is kept depends on what was kept before, so
-    this is a fold over one session's slots.
+    this is a fold over a stream's slots.
     """
-    keys = list(keys)
     some = candidates.where(F.col("trigger").isNotNull() & F.col("active"))
-    lists = some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ts, seq, "trigger"))).alias("_c"))
-    kind = dict(candidates.dtypes)[seq]
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(f"array<struct<{seq}:{kind},trigger:string>>").alias("kept"))
 
-    def step(a: Column, x: Column) -> Column:
-        room = (x["trigger"] == "clock") | (F.size(F.filter(a["kept"], lambda k: k["trigger"] == x["trigger"])) < cap)
-        take = room & (a["last"].isNull() | (x[ts] - a["last"] >= gap))
-        return F.struct(F.when(take, x[ts]).otherwise(a["last"]).alias("last"), F.when(take, F.concat(a["kept"], F.array(F.struct(x[seq].alias(seq), x["trigger"].alias("trigger"))))).otherwise(a["kept"]).alias("kept"))
+    def step(state, at, trigger):
+        last, counts = state
+        if (trigger == "clock" or counts.get(trigger, 0) < cap) and (last is None or at - last >= gap):
+            return (at, counts | {trigger: counts.get(trigger, 0) + 1}), (True,)
+        return state, (False,)
 
-    kept = lists.select(*keys, F.explode(F.aggregate("_c", start, step, lambda a: a["kept"])).alias("k")).select(*keys, f"k.{seq}")
-    return some.join(kept, [*keys, seq], "left_semi")
+    return fold(some, list(keys), [ts, seq], [ts, "trigger"], lambda: (None, {}), step, [("_kept", "boolean")]).where("_kept").drop("_kept")
 
 
 def trainable(complete: Column, crosses: Column, policy: Column, sigma: Column) -> Column:
@@ -111,52 +108,20 @@ def padded_inputs(rows: DataFrame, keys: Sequence[str], columns: Sequence[str],
     return rows.withColumns({"inputs": ring(c, v, n, zero), "length": F.least(F.count(F.lit(1)).over(c.so_far()), F.lit(n)).cast("int")})
 
 
-def adaptive_bars(rows: DataFrame, keys: Sequence[str], most: int = 64, span: int = 15 * NANOS, ts: str = "ts", seq: str = "row_seq") -> DataFrame:
-    """Adds bar (from 0): a bar closes with the row that makes it ``most`` rows long or ``span`` old; the next opens at that row's time.
-
-    Where a bar closes depends on where it opened: a fold over each stream's times.
-    """
-    keys = list(keys)
-    kind = dict(rows.dtypes)[seq]
-    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ts, seq))).alias("_r"))
-    start = F.struct(F.lit(None).cast("bigint").alias("open"), F.lit(0).alias("n"), F.lit(0).alias("bar"), F.array().cast(f"array<struct<{seq}:{kind},bar:int>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        opened = F.coalesce(a["open"], x[ts])
-        closes = (a["n"] + 1 >= most) | (x[ts] - opened >= span)
-        return F.struct(F.when(closes, x[ts]).otherwise(opened).alias("open"), F.when(closes, 0).otherwise(a["n"] + 1).alias("n"), F.when(closes, a["bar"] + 1).otherwise(a["bar"]).alias("bar"), F.concat(a["out"], F.array(F.struct(x[seq].alias(seq), a["bar"].alias("bar")))).alias("out"))
-
-    named = lists.select(*keys, F.explode(F.aggregate("_r", start, step, lambda a: a["out"])).alias("b")).select(*keys, f"b.{seq}", "b.bar")
-    return rows.join(named, [*keys, seq])
-
-
-def bar_frame(barred: DataFrame, keys: Sequence[str], mid: str = "mid", volume: str = "volume", ts: str = "ts", seq: str = "row_seq") -> DataFrame:
-    """Open, high, low and close of the mid, rows, volume and time of each bar; a bar opens at the mid of the row that closed the one before."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("bar")
-    bars = barred.groupBy(*keys, "bar").agg(F.min_by(mid, seq).alias("_first"), F.max_by(mid, seq).alias("close"), F.max(mid).alias("_high"), F.min(mid).alias("_low"), F.count(F.lit(1)).alias("n"), F.sum(volume).alias("volume"), F.min(ts).alias("_start"), F.max(ts).alias("end_ts"))
-    opened = F.coalesce(F.lag("close").over(w), F.col("_first"))
-    out = bars.withColumns({"open": opened, "start_ts": F.coalesce(F.lag("end_ts").over(w), F.col("_start"))})
-    return out.select(*keys, "bar", "open", F.greatest("open", "_high").alias("high"), F.least("open", "_low").alias("low"), "close", "n", "volume", "start_ts", "end_ts")
-
-
-def slow_blocks(dense: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:
-    """Blocks of ``n`` completed units, counted and not clock-aligned: return, range and volume."""
-    keys = list(keys)
-    k = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("u")) - 1) / n).cast("bigint")
-    b = dense.withColumn("block", k).groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("units"), (F.max_by("mid", "u") - F.min_by("mid", "u")).alias("move"), (F.max("mid") - F.min("mid")).alias("range"), F.sum("volume").alias("volume"))
-    return b.where(F.col("units") == n).drop("units")
-
-
 def regime_percentiles(dense: DataFrame, keys: Sequence[str], values: Sequence[str], spans: Sequence[int]) -> DataFrame:
     """Adds <value>_pct_<span>: the mid-rank of a unit's value among those of the ``span`` units before it; null without any."""
 
-    def rank(v: str, n: int) -> Column:
-        past = F.collect_list(v).over(Window.partitionBy(*keys).orderBy("u").rangeBetween(-n, -1))
-        low = F.aggregate(past, F.lit(0), lambda a, x: a + F.when(x < F.col(v), 2).when(x == F.col(v), 1).otherwise(0))
-        return F.when(F.size(past) > 0, low / 2 / F.size(past))
+    def step(state, u, *now):
+        out = []
+        for v, trackers in zip(now, state):
+            v = None if v is None else float(v)
+            out += [t.rank(u, v) for t in trackers]
+            for t in trackers:
+                t.push(u, v)
+        return state, tuple(out)
 
-    return dense.withColumns({f"{v}_pct_{n}": rank(v, n) for v in values for n in spans})
+    added = [(f"{v}_pct_{n}", "double") for v in values for n in spans]
+    return fold(dense, keys, ["u"], ["u", *values], lambda: [[Ranks(n) for n in spans] for _ in values], step, added)
 
 
 def regime_tail(rows: DataFrame, ledger: DataFrame | None = None, ts: str = "ts") -> DataFrame:
@@ -182,3 +147,26 @@ def regime_tail(rows: DataFrame, ledger: DataFrame | None = None, ts: str = "ts"
     last = Window.orderBy("session_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a session
     side = ledger.withColumn("_roll", F.max(F.when(F.col("rolled"), F.col("session_date"))).over(last)).select("session_date", "days_to_expiry", F.datediff("session_date", "_roll").alias("days_since_roll"))
     return out.join(side, "session_date", "left")
+
+
+def capture(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The feature vector at the sample, its columns prefixed with ``f_``, so that none clashes with a label."""
+    return rows.select(*(F.col(c).alias(f"f_{c}" if c in features else c) for c in rows.columns))
+
+
+def with_hygiene(samples: DataFrame, calendar: DataFrame, h: int, ts: str = "ts") -> DataFrame:
+    """Adds label_end_ts (ts + h), release_policy and calendar_uncovered over the label's window, and crosses_session."""
+    from tapeflow.operators import calendar as K
+
+    out = samples.withColumn("label_end_ts", F.col(ts) + F.lit(h).cast("bigint"))
+    out = K.attach(out, calendar)
+    a, b, events = F.col(ts), F.col("label_end_ts"), F.col(K.EVENTS)
+    out = out.withColumns({"release_policy": K.label_policy(events, a, b), "calendar_uncovered": (~K.covered(events, a, b)).cast("double")}).drop(K.EVENTS)
+    return out.withColumn("crosses_session", (K.session_id(a) != K.session_id(b)).cast("double"))
+
+
+def with_horizon(samples: DataFrame, keys: Sequence[str], h: int, unit: int = NANOS, ts: str = "ts") -> DataFrame:
+    """Adds h<h>_trainable and h<h>_uniqueness from h<h>_window_complete, h<h>_sigma_pts and the hygiene columns."""
+    ok = trainable(F.col(f"h{h}_window_complete"), F.col("crosses_session") == 1, F.col("release_policy"), F.col(f"h{h}_sigma_pts"))
+    out = uniqueness(samples.withColumn(f"h{h}_trainable", ok), keys, h, unit, ts, f"h{h}_trainable")
+    return out.withColumnRenamed("uniqueness", f"h{h}_uniqueness")

@@ -159,3 +159,8 @@ def label_twins(labelled: DataFrame, sigma: Column, h: int, cost: float = 0.2) -
     s = F.when(sigma > 0, sigma)
     moves = ("up", "up_adverse", "down", "down_adverse", "final_return")
     return labelled.withColumns({f"{m}_norm": F.col(m) / s for m in moves} | {"t_up_frac": F.col("t_up") / h, "t_down_frac": F.col("t_down") / h, "cost_norm": F.lit(cost) / s})
+
+
+def label_metadata(horizons: Sequence[int], cost: float = 0.2, ratio: float = 2.0) -> dict:
+    """What the labels mean, for a sidecar or a table property."""
+    return {"entry": "the unit's worst quote of the side that is paid", "window": "units after the sample's own, up to the horizon", "horizons": list(horizons), "cost_points": cost, "favourable_to_adverse": ratio, "direction": {"none": 0, "up": 1, "down": 2}}

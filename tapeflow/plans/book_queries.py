@@ -103,15 +103,25 @@ def best_bid_ask(spark, sf_dir):
     return book.best_bid_ask(book.resting_orders(read_mbo(spark, sf_dir)))
 
 
-@query("book_audit", RESTING + " SELECT session_date, instrument_id, side, price, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS orders, '' AS view FROM resting WHERE false")
+# The level view is told one more at the best price of one instrument: both views of those levels come out, and no others.
+@query(
+    "book_audit",
+    RESTING
+    + """, l AS (SELECT session_date, instrument_id, side, price, CAST(sum(size) AS BIGINT) AS size, count(*) AS orders FROM resting GROUP BY ALL),
+b AS (SELECT * FROM l WHERE instrument_id = 2 QUALIFY row_number() OVER (PARTITION BY session_date, side ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END) = 1)
+SELECT *, 'orders' AS view FROM b UNION ALL SELECT session_date, instrument_id, side, price, size + 1, orders, 'levels' FROM b""",
+)
 def book_audit(spark, sf_dir):
     resting = book.resting_orders(read_mbo(spark, sf_dir))
-    return book.audit_levels(resting, book.top_levels(resting, 1_000_000))
+    levels = book.top_levels(resting, 1_000_000)
+    planted = levels.withColumn("size", F.col("size") + F.when((F.col("instrument_id") == 2) & (F.col("level") == 1), 1).otherwise(0))
+    return book.audit_levels(resting, planted)
 
 
-@query("book_digest")
+@query("book_digest", RESTING + " SELECT session_date, instrument_id, count(*) AS rows, bit_xor(order_id) AS order_id, bit_xor(price) AS price, bit_xor(size) AS size, bit_xor(priority) AS priority FROM resting GROUP BY session_date, instrument_id")
 def book_digest(spark, sf_dir):
-    return book.digest(book.resting_orders(read_mbo(spark, sf_dir)), ["order_id", "side", "price", "size", "priority"], ["session_date", "instrument_id"])
+    """The digest's columns one by one, as another engine can fold them too."""
+    return book.plain_digest(book.resting_orders(read_mbo(spark, sf_dir)), ["order_id", "price", "size", "priority"], ["session_date", "instrument_id"])
 
 
 @query(

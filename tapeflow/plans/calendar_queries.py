@@ -151,3 +151,19 @@ def symbology(spark, sf_dir):
     e = read_events(spark, sf_dir).select((F.col("event_id") % 7).alias("instrument_id"))
     names = spark.createDataFrame([(str(i), s) for i, s in enumerate(SYMBOLS)] + [("x", "SPREAD")], "id string, symbol string")
     return with_symbols(e, names).groupBy("instrument_id", "symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "sample_hygiene",
+    f"""WITH {CAL_SQL}, x AS (SELECT event_id, epoch_us(ts) * 1000 AS ts, ts AS moment, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), m AS (SELECT x.event_id, max(CASE WHEN c.tier >= 2 THEN c.tier END) AS t FROM x LEFT JOIN cal c ON c.ts BETWEEN x.ts AND x.ts + {6 * HOUR} GROUP BY x.event_id),
+p AS (SELECT x.event_id, x.ts + {6 * HOUR} AS label_end_ts, CASE WHEN t = 3 THEN 'exclude' WHEN t = 2 THEN 'tag' ELSE 'ok' END AS release_policy, CASE WHEN EXISTS (SELECT 1 FROM cal c WHERE abs(c.ts - x.ts) <= CAST(45 AS BIGINT) * 86400000000000 + {6 * HOUR}) THEN 0.0 ELSE 1.0 END AS calendar_uncovered,
+  CASE WHEN CAST(moment - INTERVAL 23 HOUR AS DATE) <> CAST(moment + INTERVAL 6 HOUR - INTERVAL 23 HOUR AS DATE) THEN 1.0 ELSE 0.0 END AS crosses_session, k FROM x JOIN m USING (event_id))
+SELECT event_id, label_end_ts, release_policy, CAST(calendar_uncovered AS DOUBLE) AS calendar_uncovered, CAST(crosses_session AS DOUBLE) AS crosses_session, k AS f_k, k % 5 > 0 AND crosses_session = 0 AND release_policy <> 'exclude' AND k % 4 > 0 AS h6_trainable FROM p""",
+)
+def sample_hygiene(spark, sf_dir):
+    from tapeflow.operators import samples
+
+    e = read_events(spark, sf_dir).select("event_id", (F.col("us") * 1000).alias("ts"), "k")
+    e = e.withColumns({"h6_window_complete": F.when(F.col("k") % 5 > 0, 1).otherwise(0), "h6_sigma_pts": (F.col("k") % 4) / 10, "stream": F.lit(1)})
+    s = samples.with_horizon(samples.with_hygiene(e, calendar(spark), 6 * HOUR), ["stream"], 6, HOUR)
+    return samples.capture(s, ["k"]).select("event_id", "label_end_ts", "release_policy", "calendar_uncovered", "crosses_session", "f_k", "h6_trainable")

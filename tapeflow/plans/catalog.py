@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     return put
 
 
-MODULES = ("book_queries", "window_queries", "feature_queries", "calendar_queries", "evaluation_queries", "kernel_queries", "script_queries")
+MODULES = ("book_queries", "window_queries", "feature_queries", "calendar_queries", "evaluation_queries", "kernel_queries", "script_queries", "input_queries")
 
 
 def _load() -> None:

@@ -103,3 +103,20 @@ def standardize_winsorize(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", "value", F.col("k").cast("double").alias("k"))
     out = V.standardize(e, V.robust_fit(e, ["value", "k"]), ["value", "k"], 2.0)
     return out.select("event_id", F.round("value", 6).alias("value"), F.round("k", 6).alias("k"), "clipped")
+
+
+FOLD, TRAIN, GAP, EVAL = 2, 10, 1, 3
+
+
+# Sessions of the fold by their number, then the evaluation's first sample and what ends before it.
+@query(
+    "fold_frames",
+    f"""{SAMPLES.replace("SELECT event_id, ts,", "SELECT event_id, session, ts,", 1)}, n AS (SELECT session, row_number() OVER (ORDER BY session) - 1 - {FOLD} * {EVAL} AS n FROM (SELECT DISTINCT session FROM e)),
+t AS (SELECT s.* FROM s JOIN n USING (session) WHERE trainable = 1 AND n.n BETWEEN 0 AND {TRAIN - 1}), v AS (SELECT s.* FROM s JOIN n USING (session) WHERE trainable = 1 AND n.n BETWEEN {TRAIN + GAP} AND {TRAIN + GAP + EVAL - 1})
+SELECT 'train' AS role, event_id FROM t WHERE label_end_ts < (SELECT min(ts) FROM v) AND ts < (SELECT min(ts) FROM v) - 600000000000 UNION ALL SELECT 'eval', event_id FROM v""",
+)
+def fold_frames(spark, sf_dir):
+    s = samples(spark, sf_dir).join(events(spark, sf_dir).select("event_id", F.col("session").alias("session_date")), "event_id")
+    s = s.withColumnsRenamed({"trainable": "h600_trainable", "uniqueness": "h600_uniqueness"})
+    train, held, _ = V.load_fold(s, V.walk_forward(s.select("session_date"), TRAIN, EVAL, GAP), FOLD, 600)
+    return train.select(F.lit("train").alias("role"), "event_id").unionByName(held.select(F.lit("eval").alias("role"), "event_id"))

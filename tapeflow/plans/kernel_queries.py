@@ -141,6 +141,32 @@ def direction_class(spark, sf_dir):
     return scales.labels(path(spark, sf_dir), KEYS, 6, 0.02, 2.0).select("instrument_id", "u", "direction")
 
 
+SIGMA = "CASE WHEN u % 5 > 0 THEN (1 + u % 7) / 10.0 END"
+
+
+@query("label_twins", f"{LABELS}, scaled AS (SELECT *, {SIGMA} AS sigma FROM l) SELECT instrument_id, u, " + ", ".join(f"round(CASE WHEN done THEN {m} / sigma END, 6) AS {m}_norm" for m in MOVES) + ", round(CASE WHEN done THEN t_up / 6.0 END, 6) AS t_up_frac, round(CASE WHEN done THEN t_down / 6.0 END, 6) AS t_down_frac, round(0.02 / sigma, 6) AS cost_norm FROM scaled")
+def label_twins(spark, sf_dir):
+    labelled = scales.labels(path(spark, sf_dir), KEYS, 6, 0.02, 2.0)
+    sigma = F.when(F.col("u") % 5 > 0, (1 + F.col("u") % 7) / 10.0).otherwise(0.0)
+    names = (*(f"{m}_norm" for m in MOVES), "t_up_frac", "t_down_frac", "cost_norm")
+    return scales.label_twins(labelled, sigma, 6, 0.02).select("instrument_id", "u", *(F.round(n, 6).alias(n) for n in names))
+
+
+# Greedy picks by recursion over a stream's candidates: an event kind twice at most, then an hour after the last pick.
+@query(
+    "greedy_pick",
+    f"""WITH RECURSIVE {QUOTES}, c AS (SELECT instrument_id, row_seq, ts + (row_seq % 2) * 1800000000000 AS t, (row_seq * 7) % 4 AS kind FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY t, row_seq) AS i FROM c WHERE kind < 3),
+w AS (SELECT instrument_id, i, row_seq, true AS take, t AS last, CASE WHEN kind = 1 THEN 1 ELSE 0 END AS a, CASE WHEN kind = 2 THEN 1 ELSE 0 END AS b FROM o WHERE i = 1
+  UNION ALL SELECT z.instrument_id, z.i, z.row_seq, z.take, CASE WHEN z.take THEN z.t ELSE z.last END, z.a + CASE WHEN z.take AND z.kind = 1 THEN 1 ELSE 0 END, z.b + CASE WHEN z.take AND z.kind = 2 THEN 1 ELSE 0 END
+  FROM (SELECT o.*, w.last, w.a, w.b, (o.kind = 0 OR (o.kind = 1 AND w.a < 2) OR (o.kind = 2 AND w.b < 2)) AND o.t - w.last >= {HOUR} AS take FROM w JOIN o ON o.instrument_id = w.instrument_id AND o.i = w.i + 1) z)
+SELECT instrument_id, row_seq FROM w WHERE take""",
+)
+def greedy_pick(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("clock", "sweep", "vacuum"))), (F.least(F.col("row_seq") * 7 % 4, F.lit(2)) + 1).cast("int"))
+    c = flow_rows(spark, sf_dir).select("instrument_id", "row_seq", (F.col("ts") + (F.col("row_seq") % 2) * (HOUR // 2)).alias("ts"), F.when(F.col("row_seq") * 7 % 4 < 3, kind).alias("trigger"), F.lit(True).alias("active"))
+    return samples.greedy_pick(c, KEYS, HOUR, 2).select("instrument_id", "row_seq")
+
+
 @query("half_second_slots", f"WITH {QUOTES}, s AS (SELECT instrument_id, row_seq, ts // 1800000000000 AS slot0, (ts + (row_seq % 2) * 1800000000000) AS t FROM f), r AS (SELECT *, t // 1800000000000 AS slot FROM s) SELECT instrument_id, row_seq, slot, slot % 2 = 0 AS clock FROM r QUALIFY row_number() OVER (PARTITION BY instrument_id, slot ORDER BY t, row_seq) = 1")
 def half_second_slots(spark, sf_dir):
     rows = flow_rows(spark, sf_dir).select("instrument_id", "row_seq", (F.col("ts") + (F.col("row_seq") % 2) * (HOUR // 2)).alias("ts"))
@@ -178,20 +204,6 @@ def effective_n_summary(spark, sf_dir):
     return s.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("trainable"), 1)).alias("trainable"), F.round(F.sum("uniqueness"), 4).alias("effective_n"))
 
 
-@query("adaptive_bars")
-def adaptive_bars(spark, sf_dir):
-    rows = flow_rows(spark, sf_dir).select("instrument_id", "row_seq", "ts", ((F.col("bid_px") + F.col("ask_px")) / 2e8).alias("mid"), (F.col("t_buy") + F.col("t_sell")).alias("volume"))
-    return samples.bar_frame(samples.adaptive_bars(rows, KEYS, 16, 12 * HOUR), KEYS)
-
-
-@query(
-    "slow_blocks",
-    f"{GRID}, n AS (SELECT *, (row_number() OVER (PARTITION BY instrument_id ORDER BY u) - 1) // 10 AS block FROM d) SELECT instrument_id, block, arg_max(mid, u) - arg_min(mid, u) AS move, max(mid) - min(mid) AS range, CAST(sum(volume) AS BIGINT) AS volume FROM n GROUP BY ALL HAVING count(*) = 10",
-)
-def slow_blocks(spark, sf_dir):
-    return samples.slow_blocks(grid_rows(spark, sf_dir), KEYS)
-
-
 @query("model_inputs")
 def model_inputs(spark, sf_dir):
     rows = flow_rows(spark, sf_dir).withColumns({c: V.signed_log(F.col(c)) for c in ("t_buy", "t_sell", "flow_b_1", "flow_a_1")})

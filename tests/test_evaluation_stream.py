@@ -1,13 +1,15 @@
 import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tapeflow import config
 from tapeflow.operators import evaluation as V
-from tapeflow.operators import replay, samples, scales
+from tapeflow.operators import features, folds, inputs, replay, samples, scales
+from tapeflow.plans import input_queries
 from tapeflow.streaming.book_stream import stream
-from tests.records import DAY, frame, random_stream, record
+from tests.records import DAY, PX, frame, random_stream, record
 
 
 def test_auc_ties_and_brier(spark):
@@ -65,8 +67,56 @@ def test_uniqueness_of_disjoint_and_equal_windows(spark):
 
 def test_bars_close_by_count_or_time(spark):
     rows = spark.createDataFrame([(1, t, i) for i, t in enumerate((0, 1, 2, 3, 50, 51))], "k int, ts long, row_seq long")
-    got = samples.adaptive_bars(rows, ["k"], 3, 20).orderBy("row_seq").collect()
-    assert [r["bar"] for r in got] == [0, 0, 0, 1, 1, 2]
+    got = inputs.with_bars(rows, ["k"], 3, 20).orderBy("row_seq").collect()
+    assert [(r["bar"], r["closes"]) for r in got] == [(0, False), (0, False), (0, True), (1, False), (1, True), (2, False)]
+
+
+def test_ranks_and_folds_of_streams(spark):
+    ranks, past = folds.Ranks(5), []
+    for u, v in ((1, 3.0), (2, 1.0), (4, 3.0), (5, None), (8, 2.0), (9, 9.0), (20, 1.0)):
+        live = [b for a, b in past if a >= u - 5]
+        want = None if v is None or not live else sum((b < v) + (b <= v) for b in live) / 2 / len(live)
+        assert ranks.rank(u, v) == want
+        ranks.push(u, v)
+        past += [(u, v)] if v is not None else []
+    rows = spark.createDataFrame([(k, t, i, "clock" if i % 3 else "sweep", True) for k in (1, 2) for i, t in enumerate((0, 1, 5, 6, 7, 20, 21, 40))], "k int, ts long, row_seq long, trigger string, active boolean")
+    got = samples.greedy_pick(rows, ["k"], 5, 1).orderBy("k", "ts").collect()
+    assert [(r["k"], r["ts"]) for r in got] == [(k, t) for k in (1, 2) for t in (0, 5, 20, 40)]
+    kept = features.sampled(rows, ["k"], 6).orderBy("k", "ts").collect()
+    assert [r["ts"] for r in kept if r["k"] == 1] == [0, 6, 20, 40]
+
+
+def test_assembled_inputs_end_with_the_sampled_row(spark):
+    got = input_queries.assembled_inputs(spark, "/root/testdata/sf0.001").collect()
+    events = {(r["session_date"], r["instrument_id"], r["row_seq"]): r for r in input_queries.I.event_stream(input_queries.rows(spark, "/root/testdata/sf0.001"), input_queries.STREAM).collect()}
+    assert len(got) > 100
+    for r in got:
+        own = events[r["session_date"], r["instrument_id"], r["row_seq"]]
+        assert [len(r[n]) for n in ("events", "bars", "tactical", "slow")] == [16, 4, 8, 2] and [len(r[n][0]) for n in ("events", "bars", "tactical", "slow")] == [22, 30, 23, 15]
+        assert r["events"][-1] == pytest.approx([own[c] or 0.0 for c in input_queries.I.EVENT], rel=1e-5, abs=1e-6)
+        assert all(not any(x) for x in r["events"][: 16 - r["events_len"]]) and all(not any(x) for x in r["bars"][: 4 - r["bars_len"]])
+    with pytest.raises(ValueError):
+        replay.flow(None, lifecycle=False)
+
+
+def test_state_of_a_session_goes_with_its_end_mark():
+    from tapeflow.streaming import book_stream
+
+    class State:
+        exists, hasTimedOut, get, removed = False, False, (), False
+
+        def update(self, x):
+            self.exists, self.get = True, x
+
+        def remove(self):
+            self.exists, self.removed = False, True
+
+    names = ["session_date", "seq", "ts_event", "action", "side", "price", "size", "order_id", "flags", "channel_id", "sequence", "instrument_id"]
+    fields = ["session_date", "instrument_id", "ts"]
+    run, state = book_stream._streamed("flow", fields, book_stream.Settings(), None), State()
+    frames = [pd.DataFrame([record(i, 10 + i, "A", "B", PX, 1, i)], columns=names) for i in range(2)] + [pd.DataFrame([record(9, 20, "E", "N", 0, 0, 0)], columns=names)]
+    rows = [len(next(run((DAY,), iter([f]), state))) for f in frames]
+    assert rows == [0, 1, 1] and state.removed and not state.exists
 
 
 def test_stream_equals_batch(spark, tmp_path):
