@@ -131,34 +131,44 @@ class Codec:
 
     def _whole(self, text: str) -> list[int]:
         out: list[int] = []
-        for m in self.pattern.finditer(text):
-            out += self._piece(m.group().encode())
+        for piece in self.pattern.findall(text):
+            stem = piece[1:]
+            if piece[0] == " " and len(piece) < len(text) and stem.isalpha() and max(stem) < "\u0250":
+                out += self.after_blank[stem]  # remembered for words that go on differently
+            else:
+                out += self._piece(piece.encode())
         return out
 
     def merge(self, piece: bytes) -> list[int]:
         n, pair = len(piece), self.pair.get
         token = list(map(self.of_byte.__getitem__, piece))  # -1: the place was taken by a merge to its left
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        bits = n.bit_length()
-        two = self.two
-        heap = [r << bits | i for i, (a, b) in enumerate(zip(piece, piece[1:])) if (r := two[a << 8 | b]) >= 0]
-        heapify(heap)
+        bits, two = n.bit_length(), self.two
         places = (1 << bits) - 1
+        #: The rank that the pair from a place has now, -1 for none: an entry of the heap with another one is stale.
+        joined = [two[a << 8 | b] for a, b in zip(piece, piece[1:])] + [-1]
+        heap = [r << bits | i for i, r in enumerate(joined) if r >= 0]
+        heapify(heap)
         while heap:
             entry = heappop(heap)
             i, r = entry & places, entry >> bits
-            mid = after[i]
-            if mid >= n or token[i] < 0 or pair(token[i] << 20 | token[mid]) != r:
+            if joined[i] != r:
                 continue
-            token[i], token[mid] = r, -1
+            mid = after[i]
+            token[i], token[mid], joined[mid] = r, -1, -1
             after[i] = end = after[mid]
+            s = -1
             if end < n:
                 before[end] = i
-                if (s := pair(r << 20 | token[end])) is not None:
+                s = pair(r << 20 | token[end], -1)
+                if s >= 0:
                     heappush(heap, s << bits | i)
+            joined[i] = s
             left = before[i]
-            if left >= 0 and (s := pair(token[left] << 20 | r)) is not None:
-                heappush(heap, s << bits | left)
+            if left >= 0:
+                joined[left] = s = pair(token[left] << 20 | r, -1)
+                if s >= 0:
+                    heappush(heap, s << bits | left)
         return [t for t in token if t >= 0]
 
     def encode(self, text: str | None) -> list[int]:
