@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tapeflow.schema import CALENDAR, NANOS, TIERS
 
+#: The names of months in schedules begin with these.
+MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
 NY = "America/New_York"
 DAY_S = 86_400
 
@@ -41,11 +45,67 @@ def releases(pages: DataFrame, first_year: int = 2017, last_year: int = 2026) ->
     return found.select("name", day.alias("day")).where(F.year("day").between(first_year, last_year)).dropDuplicates(["name", "day"])
 
 
+def _releases(found: DataFrame, day: Column, clock: Column, first_year: int, last_year: int) -> DataFrame:
+    """The events of local days (``yyyy-M-d``) and clock times (``hh:mm AM``): one a (name, time), from the source that sorts last."""
+    local = F.try_to_timestamp(F.concat_ws(" ", day, F.regexp_replace(clock, r"\s+", " ")), F.lit("yyyy-M-d hh:mm a"))
+    out = found.withColumn("_utc", F.to_utc_timestamp(local, NY)).where(F.year("_utc").between(first_year, last_year))
+    out = out.groupBy("name", "_utc").agg(F.max(F.struct("source", "tier")).alias("_s"))
+    return out.select(F.date_format("_utc", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("ts_utc"), "name", F.col("_s.tier").alias("tier"), F.col("_s.source").alias("source"))
+
+
+def timed_releases(pages: DataFrame, first_year: int = 2017, last_year: int = 2026, least_rows: int = 10) -> DataFrame:
+    """pages(name, tier, source, html) of yearly schedules -> ts_utc, name, tier, source, to be read by ``read_calendar``.
+
+    A row of a table counts if one cell is a date (``Jan. 11, 2024``, ``January 11, 2024``) and one a time of day
+    (``08:30 AM``, New York); the last of several counts. Pages with fewer than ``least_rows`` such rows give nothing
+    (``short_pages`` lists them), days that don't exist neither; years are those of the UTC time.
+    """
+    rows = _schedule_rows(pages).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("name", "source")))  # rows of one page
+    return _releases(rows.where(F.col("_n") >= least_rows), F.col("_day"), F.col("_clock"), first_year, last_year)
+
+
+def short_pages(pages: DataFrame, least_rows: int = 10) -> DataFrame:
+    """name, source, rows of the pages that ``timed_releases`` leaves out."""
+    found = _schedule_rows(pages).groupBy("name", "source").agg(F.count(F.lit(1)).alias("rows"))
+    out = pages.select("name", "source").distinct().join(found, ["name", "source"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    return out.where(F.col("rows") < least_rows)
+
+
+def _schedule_rows(pages: DataFrame) -> DataFrame:
+    """name, tier, source, _day, _clock of each table row with a date and a time."""
+    row = F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1)))
+    cells = F.transform(F.regexp_extract_all("_row", F.lit(r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), r"^\s+|\s+$", ""))
+    date = rf"^({'|'.join(MONTH_NAMES)})[a-z]*\.?\s+(\d{{1,2}}),\s+(\d{{4}})$"
+    last = lambda pattern: F.try_element_at(F.filter("_cells", lambda c: c.rlike(pattern)), F.lit(-1))
+    out = pages.select("name", "tier", "source", row.alias("_row")).withColumn("_cells", cells)
+    out = out.withColumns({"_date": last(date), "_clock": last(r"^\d{2}:\d{2}\s+[AP]M$")}).where("_date IS NOT NULL AND _clock IS NOT NULL")
+    part = lambda i: F.regexp_extract("_date", date, i)
+    month = F.array_position(F.array(*map(F.lit, MONTH_NAMES)), part(1))
+    return out.select("name", "tier", "source", F.concat_ws("-", part(3), month, part(2)).alias("_day"), "_clock")
+
+
+def monthly_releases(pages: DataFrame, first_year: int = 2017, last_year: int = 2026) -> DataFrame:
+    """pages(name, tier, source, label, year, month, html) of monthly grids -> as ``timed_releases``.
+
+    A cell begins with its day of the month and lists ``<label> <Month yyyy> 08:30 AM``, any number of times.
+    """
+    cell = F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)))
+    text = F.trim(F.regexp_replace(F.regexp_replace("_cell", "<[^>]+>", " "), r"\s+", " "))
+    out = pages.select("name", "tier", "source", "label", "year", "month", cell.alias("_cell")).withColumn("_text", text)
+    out = out.withColumn("_d", F.regexp_extract("_text", r"^(\d{1,2})\b", 1)).where("_d <> ''")
+    clock = F.regexp_extract_all("_text", F.concat(F.lit(r"\Q"), "label", F.lit(r"\E\s+[A-Z][a-z]+ \d{4}\s+(\d{2}:\d{2} [AP]M)")), F.lit(1))
+    out = out.withColumn("_clock", F.explode(clock))
+    return _releases(out, F.concat_ws("-", "year", "month", "_d"), F.col("_clock"), first_year, last_year)
+
+
+def write_calendar(events: DataFrame, path: str) -> None:
+    """The events by time as one CSV file with the header that ``read_calendar`` and ``merge_calendars`` take; a calendar is small."""
+    events.select("ts_utc", "name", "tier", "source").coalesce(1).sortWithinPartitions("ts_utc", "name").write.mode("overwrite").csv(path, header=True)
+
+
 def release_gaps(found: DataFrame, most_days: int = 45) -> DataFrame:
     """Neighbouring releases of a name that lie further apart than ``most_days``."""
-    from pyspark.sql.window import Window
-
-    before = F.lag("day").over(Window.partitionBy("name").orderBy("day"))
+    before =F.lag("day").over(Window.partitionBy("name").orderBy("day"))
     return found.withColumn("before", before).where(F.datediff("day", "before") > most_days)
 
 

@@ -89,6 +89,20 @@ def gate(rows: DataFrame, cost: float = 0.2, least_sessions: int = 20, least_auc
     return out.withColumn("passed", F.coalesce(ok, F.lit(False)))
 
 
+def top_share(rows: DataFrame, scores: Sequence[str], move: str, at: float = 0.9, slack: float = 0.0) -> DataFrame:
+    """One row: top_rows, the rows whose largest score reaches the quantile ``at`` of it less ``slack``; move_top and
+    move_all, the median absolute move of those and of all rows; calm, whether move_top is at most the larger of move_all and 1.
+
+    Nulls and NaN are left out of the largest score, the quantile and the medians. Quantiles interpolate.
+    """
+    clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    best = F.greatest(*map(clean, scores)) if len(scores) > 1 else clean(scores[0])
+    rows = rows.select(best.alias("_best"), F.abs(clean(move)).alias("_move"))
+    top = F.col("_best") >= rows.agg(F.percentile("_best", F.lit(at)) - slack).scalar()
+    out = rows.agg(F.count(F.when(top, 1)).alias("top_rows"), F.percentile(F.when(top, F.col("_move")), F.lit(0.5)).alias("move_top"), F.percentile("_move", F.lit(0.5)).alias("move_all"))
+    return out.withColumn("calm", F.col("move_top") <= F.greatest("move_all", F.lit(1.0)))
+
+
 def thin_clock(rows: DataFrame, most: int, session: str = "session", order: Sequence[str] = ("ts",)) -> DataFrame:
     """All event samples, and clock samples of each session by a stride that leaves at most ``most`` of them."""
     clock = rows.where(F.col("trigger") == "clock")

@@ -214,6 +214,21 @@ for _name, _members in FAMILIES.items():
     _family(_name, _members)
 
 
+@query(
+    "top_absorption",
+    f"""{_sql()}, s AS (SELECT greatest({STATED["absorption_bid_s"]}, {STATED["absorption_ask_s"]}) AS best, abs({STATED["price_progress_ticks_s"]}) AS move FROM e2), q AS (SELECT quantile_cont(best, 0.9) - 1e-9 AS cut FROM s)
+SELECT count(*) FILTER (best >= cut) AS top_rows, round(median(move) FILTER (best >= cut), 6) AS move_top, round(median(move), 6) AS move_all, median(move) FILTER (best >= cut) <= greatest(median(move), 1) AS calm FROM s, q""",
+)
+def top_absorption(spark, sf_dir):
+    """Rows of the top tenth of absorption and how far prices move there and everywhere; the cut is a billionth lower, so
+    that the last bit of a sum decides about no row."""
+    from tapeflow.operators import evaluation
+
+    rows = X.features(flow_rows(spark, sf_dir), STREAM, SPEC)
+    out = evaluation.top_share(rows, ["absorption_bid_s", "absorption_ask_s"], "price_progress_ticks_s", slack=1e-9)
+    return out.withColumns({c: F.round(c, 6) for c in ("move_top", "move_all")})
+
+
 @query("order_flow_features")
 def order_flow_features(spark, sf_dir):
     """All features of every row at once."""

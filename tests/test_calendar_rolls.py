@@ -46,6 +46,28 @@ def test_release_pages(spark):
     assert K.release_gaps(found).count() == 1
 
 
+def test_timed_releases(spark, tmp_path):
+    row = "<tr class='x'>\n<th>{}</th><td><b>{}</b>\n</td><td> {} </td></tr>"
+    days = [("Jan. 11, 2024", "08:30 AM"), ("July 11, 2024", "08:30 AM"), ("August 14, 2024", "02:00 PM"), ("March 12, 2024", ""), ("Feb. 31, 2024", "08:30 AM"), ("May 1, 1999", "08:30 AM"), ("Jan. 11, 2024", "08:30 AM")]
+    html = "<table>" + "".join(row.format("ref", d, t) for d, t in days) + "</table>"
+    pages = spark.createDataFrame([("CPI", "high", "a", html), ("CPI", "high", "b", html), ("PPI", "medium", "c", row.format("", "June 3, 2024", "08:30 AM")), ("X", "low", "d", None)], "name string, tier string, source string, html string")
+    found = K.timed_releases(pages, least_rows=5)
+    got = sorted(map(tuple, found.collect()))
+    assert got == [(t, "CPI", "high", "b") for t in ("2024-01-11T13:30:00+00:00", "2024-07-11T12:30:00+00:00", "2024-08-14T18:00:00+00:00")]
+    assert sorted(map(tuple, K.short_pages(pages, 5).collect())) == [("PPI", "c", 1), ("X", "d", 0)]
+    K.write_calendar(found, str(tmp_path / "events_a.csv"))
+    K.write_calendar(K.decisions(spark, ["2024-01-31"]), str(tmp_path / "events_b.csv"))
+    K.write_calendar(K.merge_calendars(spark, str(tmp_path / "events_*.csv")), str(tmp_path / "events.csv"))
+    back = K.read_calendar(spark, str(tmp_path / "events.csv")).collect()
+    assert [r["ts"] for r in back] == [ns(t) for t in ("2024-01-11T13:30:00", "2024-01-31T19:00:00", "2024-07-11T12:30:00", "2024-08-14T18:00:00")]
+
+
+def test_monthly_grids(spark):
+    html = "<tr><td>blank</td><td><p>9</p>Producer Price Index (x)<br>May 2018 08:30 AM</td><td>11<br/>Other Index May 2018 10:00 AM Producer Price\n Index May 2018 08:30 AM <i>Producer Price Index</i> June 2018 01:15 PM</td></tr>"
+    page = spark.createDataFrame([("PPI", "medium", "m", "Producer Price Index", 2018, 6, html)], "name string, tier string, source string, label string, year int, month int, html string")
+    assert sorted(r["ts_utc"] for r in K.monthly_releases(page).collect()) == ["2018-06-11T12:30:00+00:00", "2018-06-11T17:15:00+00:00"]
+
+
 def test_contracts_and_expiries(spark):
     d = datetime.date
     df = spark.createDataFrame([(d(2026, 1, 6), "GCG6"), (d(2026, 1, 6), "GCZ5"), (d(2019, 12, 30), "GCG0"), (d(2026, 1, 6), "GCG6-GCJ6")], "session_date date, symbol string")

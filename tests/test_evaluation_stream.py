@@ -36,6 +36,18 @@ def test_gate_passes_an_oracle_and_stops_an_uninformed_model(spark):
     assert not V.gate(gate_rows(spark, False)).first()["passed"]
 
 
+def test_top_share_leaves_out_what_is_no_number(spark):
+    nan = float("nan")
+    rows = [(i / 10, nan, float(i)) for i in range(10)] + [(None, 1.0, -20.0), (nan, None, 5.0), (None, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, m double")
+    best = [i / 10 for i in range(10)] + [1.0]
+    cut = float(pd.Series(best).quantile(0.9))
+    got = V.top_share(df, ["a", "b"], "m").first()
+    assert (got["top_rows"], got["move_top"], got["move_all"]) == (sum(x >= cut for x in best), 14.5, 5.0) and not got["calm"]
+    got = V.top_share(df.limit(0), ["a"], "m").first()
+    assert tuple(got) == (0, None, None, None)
+
+
 def test_purge_keeps_no_label_across_the_border(spark):
     ns = 10**9
     df = spark.createDataFrame([(i, i * 100 * ns, (i * 100 + 600) * ns) for i in range(50)], "i int, ts long, label_end_ts long")

@@ -43,6 +43,25 @@ def test_gate_has_three_windows_with_and_without_weights(spark, monkeypatch):
     assert all(len(c) == 71 and g.keys() == {"weight"} for _, c, g in calls)
 
 
+def test_signed_features_are_one_family_and_every_feature_has_one():
+    assert {model.family(f"f_{c}", K.SIGNED) for c in K.SIGNED} == {"signed_v2"} and len(K.SIGNED) == 20
+    assert model.family("f_sweep_net_ticks_m_norm", K.SIGNED) == "signed_v2" and model.family("f_sweep_buy_ticks_m", K.SIGNED) == "sweeps"
+    assert model.family("book_imbalance_near", K.SIGNED) == "book_imbalance" and model.family("sigma_30s") == "scales_regime"
+    assert set(model.families(K.COLUMNS, K.SIGNED)) == {*model.FAMILIES, "signed_v2"} - {"scales_regime"}
+
+
+def test_ablation_and_permutation_name_the_feature_that_counts(spark):
+    rows = spark.range(400).select("id", (F.col("id") % 2).alias("day"), (F.col("id") * 7 % 3).cast("int").alias("y"))
+    rows = rows.withColumns({"spread_x": F.col("y") + F.lit(0.0), "mlofi_x": (F.xxhash64("id") % 50).cast("double")}).persist()
+    got = model.ablation(rows, rows, ["spread_x", "mlofi_x"], "y", trees=2, depth=2).collect()
+    assert got[0]["family"] == "spread" and got[0]["auc_drop"] > 0.2 and abs(got[1]["auc_drop"]) < 0.05
+    got = model.permutation(rows, model.fit(rows, ["spread_x", "mlofi_x"], "y", trees=2, depth=2), "y", ["day"], ["id"]).collect()
+    assert got[0]["feature"] == "spread_x" and got[0]["auc_drop"] > 0.2 and abs(got[1]["auc_drop"]) < 0.05
+    moved = model.shuffled(rows, "mlofi_x", ["day"], ["id"])
+    assert all(sorted(r[0] for r in a.where(F.col("day") == d).select("mlofi_x").collect()) == sorted(r[0] for r in rows.where(F.col("day") == d).select("mlofi_x").collect()) for a in (moved,) for d in (0, 1))
+    assert moved.columns == rows.columns and model.shuffled(rows.limit(0), "mlofi_x", ["day"], ["id"]).count() == 0
+
+
 def test_importance_covers_every_feature(spark, monkeypatch):
     calls = watched(monkeypatch)
     assert {r["feature"] for r in K.feature_importance(spark, SF).collect()} == set(K.COLUMNS) and not calls[0][2]
