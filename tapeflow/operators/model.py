@@ -18,7 +18,7 @@ from tapeflow.operators.evaluation import rank_auc
 @dataclass
 class Fitted:
     columns: list[str]
-    models: list[GBTClassificationModel]
+    models: list[GBTClassificationModel | None]
     frequencies: list[float]
 
 
@@ -29,22 +29,31 @@ def _assembled(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit(train: DataFrame, columns: Sequence[str], label: str, weight: str | None = None, classes: int = 3, trees: int = 20, depth: int = 5, seed: int = 7) -> Fitted:
-    """One binary model for each class of ``label`` (0 to classes - 1); for two classes one in all."""
+    """One binary model for each class of ``label`` (0 to classes - 1); for two classes one in all.
+
+    A class that no row has, or every row, needs no trees: its model is None and its probability its frequency.
+    """
     rows = _assembled(train.where(F.col(label).isNotNull()), columns)
     counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     total = max(1, sum(counts.values()))
     models = []
     for k in range(1 if classes == 2 else 0, classes):
+        if counts.get(k, 0) in (0, sum(counts.values())):
+            models.append(None)
+            continue
         gbt = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed, **({"weightCol": weight} if weight else {}))
         models.append(gbt.fit(rows.withColumn("_y", (F.col(label) == k).cast("double"))))
     return Fitted(list(columns), models, [counts.get(k, 0) / total for k in range(classes)])
 
 
 def predict(rows: DataFrame, fitted: Fitted) -> DataFrame:
-    """Adds p0, p1, ...: the classes' probabilities, scaled to sum to 1."""
+    """Adds p0, p1, ...: the classes' probabilities, scaled to sum to 1; all alike after a fit on no rows."""
     out = _assembled(rows, fitted.columns)
     first = len(fitted.frequencies) - len(fitted.models)
     for i, m in enumerate(fitted.models):
+        if m is None:
+            out = out.withColumn(f"_p{first + i}", F.lit(float(fitted.frequencies[first + i]) if any(fitted.frequencies) else 1 / len(fitted.frequencies)))
+            continue
         out = m.transform(out).withColumn(f"_p{first + i}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
     if first:
         out = out.withColumn("_p0", 1 - F.col("_p1"))
@@ -55,7 +64,7 @@ def predict(rows: DataFrame, fitted: Fitted) -> DataFrame:
 
 def importance(fitted: Fitted) -> DataFrame:
     """feature, importance: the mean over the classes' models, largest first."""
-    mean = [float(sum(m.featureImportances[i] for m in fitted.models) / len(fitted.models)) for i in range(len(fitted.columns))]
+    mean = [float(sum(m.featureImportances[i] for m in fitted.models if m) / len(fitted.models)) for i in range(len(fitted.columns))]
     rows = sorted(zip(fitted.columns, mean), key=lambda x: (-x[1], x[0]))
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
 

@@ -62,6 +62,15 @@ def test_ablation_and_permutation_name_the_feature_that_counts(spark):
     assert moved.columns == rows.columns and model.shuffled(rows.limit(0), "mlofi_x", ["day"], ["id"]).count() == 0
 
 
+def test_classes_without_a_choice_need_no_trees(spark):
+    rows = spark.range(6).select(F.col("id").cast("double").alias("x"), F.lit(0).alias("y"))
+    fitted = model.fit(rows, ["x"], "y")
+    assert fitted.models == [None] * 3 and set(model.predict(rows, fitted).select("p0", "p1", "p2").collect()) == {(1.0, 0.0, 0.0)}
+    assert [r["importance"] for r in model.importance(fitted).collect()] == [0.0]
+    nothing = model.predict(rows, model.fit(rows.limit(0), ["x"], "y", classes=2)).first()
+    assert (nothing["p0"], nothing["p1"]) == (0.5, 0.5)
+
+
 def test_importance_covers_every_feature(spark, monkeypatch):
     calls = watched(monkeypatch)
     assert {r["feature"] for r in K.feature_importance(spark, SF).collect()} == set(K.COLUMNS) and not calls[0][2]
