@@ -77,8 +77,11 @@ def roll_ledger(contracts: DataFrame, crosses: int = 2) -> DataFrame:
     return rows.select("r.*").withColumn("leader_is_active", F.col("leader") == F.col("active"))
 
 
-def ledger_checks(ledger: DataFrame) -> DataFrame:
-    """One row: whether each check of a ledger holds."""
+def ledger_checks(ledger: DataFrame, known: tuple[str, str, str] | None = None) -> DataFrame:
+    """One row: whether each check of a ledger holds.
+
+    ``known``, (first day, last day, symbol), adds the check that the symbol is active on all sessions of those days.
+    """
     ordered = Window.orderBy("session_date")  # one row a session
     rolls = ledger.where("rolled").withColumn("_up", F.coalesce(F.col("active_expiry") >= F.lag("active_expiry").over(ordered), F.lit(True)))
     a = ledger.agg(
@@ -91,13 +94,26 @@ def ledger_checks(ledger: DataFrame) -> DataFrame:
     )
     b = rolls.agg(F.coalesce(F.bool_and("_up"), F.lit(True)).alias("later"), F.count(F.lit(1)).alias("n_rolls"), F.coalesce(F.avg(F.instr(F.lit(LIQUID), F.substring("active", 3, 1)).cast("boolean").cast("double")) >= 0.95, F.lit(True)).alias("liquid"))
     out = a.join(b)  # one row each
+    if known is not None:
+        first, last, symbol = known
+        inside = ledger.where(F.col("session_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+        out = out.join(inside.agg(F.coalesce(F.bool_and(F.col("active").eqNullSafe(symbol)), F.lit(True)).alias("known")))
     return out.withColumn("cadence", (F.col("n_rolls") / F.col("_years")).between(4.5, 7.5)).drop("_years")
 
 
-def crosses_roll(ledger: DataFrame, first: Column, last: Column) -> Column:
-    """Whether a roll lies in (first, last]: against the ledger's roll dates, one small array."""
+def with_active(rows: DataFrame, ledger: DataFrame, day: str = "session_date") -> DataFrame:
+    """Adds the active contract of each row's day; a day that the ledger doesn't have is an error. A ledger has a row a session."""
+    known = ledger.select(F.col("session_date").alias("_day"), F.col("active").alias("_active"))
+    missing = F.raise_error(F.concat(F.lit("not in the ledger: "), F.coalesce(F.col(day).cast("string"), F.lit("null")))).cast("string")
+    return rows.join(known, F.col(day) == F.col("_day"), "left").withColumn("active", F.when(F.col("_day").isNull(), missing).otherwise(F.col("_active"))).drop("_day", "_active")
+
+
+def with_crosses_roll(rows: DataFrame, ledger: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Adds crosses_roll: whether a roll lies in (first, last], by the ledger's roll dates, attached as one small array; null
+    where a bound is, unless there is no roll at all."""
     dates = ledger.where("rolled").agg(F.collect_list("session_date")).scalar()
-    return F.exists(dates, lambda d: (d > first) & (d <= last))
+    inside = F.exists("_rolls", lambda d: (d > first) & (d <= last))
+    return rows.withColumn("_rolls", dates).withColumn("crosses_roll", inside).drop("_rolls")
 
 
 def calendar_gaps(days: DataFrame, day: str = "session_date") -> DataFrame:
@@ -108,8 +124,8 @@ def calendar_gaps(days: DataFrame, day: str = "session_date") -> DataFrame:
 
 
 def worst_condition(reports: DataFrame) -> DataFrame:
-    """reports(day, condition, n): of several reports for a day the worst, later ones on ties."""
-    rank = F.when(F.col("condition") == "missing", 2).when(F.col("condition") == "degraded", 1).otherwise(0)
+    """reports(day, condition, n): of several reports for a day the worst, later ones on ties: missing, degraded, pending, others."""
+    rank = F.when(F.col("condition") == "missing", 3).when(F.col("condition") == "degraded", 2).when(F.col("condition") == "pending", 1).otherwise(0)
     return reports.groupBy("day").agg(F.max_by("condition", F.struct(rank, F.col("n"))).alias("condition"))
 
 

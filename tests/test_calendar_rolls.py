@@ -85,6 +85,25 @@ def test_roll_ledger_waits_for_two_sessions_and_acts_on_the_next(spark):
     assert [r["cross_streak"] for r in got] == [0, 1, 0, 1, 2, 0, 0] and [r["rolled"] for r in got] == [False] * 5 + [True, False]
 
 
+def test_ledger_answers_for_its_days_and_against_what_is_known(spark):
+    d = datetime.date
+    rows = [(d(2026, 1, i), "GCG6", False, d(2026, 2, 25), 40, False, 0.9, True) for i in (5, 6, 7)] + [(d(2026, 1, 8), "GCJ6", True, d(2026, 4, 28), 99, False, 0.9, True)]
+    ledger = spark.createDataFrame(rows, "session_date date, active string, rolled boolean, active_expiry date, days_to_expiry int, forced boolean, active_share double, leader_is_active boolean")
+    assert R.ledger_checks(ledger, ("2026-01-05", "2026-01-07", "GCG6")).first()["known"] and not R.ledger_checks(ledger, ("2026-01-05", "2026-01-08", "GCG6")).first()["known"]
+    days = spark.createDataFrame([(d(2026, 1, 8),), (d(2026, 1, 5),)], "session_date date")
+    assert sorted(r["active"] for r in R.with_active(days, ledger).collect()) == ["GCG6", "GCJ6"]
+    with pytest.raises(Exception, match="not in the ledger: 2026-02-01"):
+        R.with_active(spark.createDataFrame([(d(2026, 2, 1),)], "session_date date"), ledger).collect()
+    crossed = R.with_crosses_roll(days, ledger, F.lit("2026-01-07").cast("date"), F.col("session_date")).collect()
+    assert {str(r["session_date"]): r["crosses_roll"] for r in crossed} == {"2026-01-08": True, "2026-01-05": False}
+    assert R.with_crosses_roll(days, ledger, F.lit("2026-01-08").cast("date"), F.lit("2026-03-01").cast("date")).where("crosses_roll").count() == 0
+
+
+def test_worst_condition_ranks_pending_above_available(spark):
+    reports = spark.createDataFrame([(1, "pending", 1), (1, "available", 2), (2, "degraded", 1), (2, "pending", 2), (3, "missing", 1), (3, "degraded", 2)], "day int, condition string, n int")
+    assert {r["day"]: r["condition"] for r in R.worst_condition(reports).collect()} == {1: "pending", 2: "degraded", 3: "missing"}
+
+
 def test_archive_round_trip(spark, tmp_path):
     from tests.records import frame, random_stream
 
