@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapeflow.operators import calendar as K
 from tapeflow.operators import rolls as R
 from tapeflow.plans.catalog import query
-from tapeflow.sources.events import read_events, read_mbo
+from tapeflow.sources.events import micros, read_events, read_mbo
 
 #: A test calendar over the days of the table: (UTC time, tier, name).
 EVENTS = [(f"2024-01-{d:02d} {h}", t, n) for d, h, t, n in ((2, "13:30:00", "high", "jobs"), (5, "18:00:00", "medium", "auction"), (5, "19:00:00", "high", "decision"), (9, "14:00:00", "low", "survey"), (12, "13:30:00", "high", "prices"), (17, "18:00:00", "medium", "auction"), (19, "15:00:00", "low", "homes"), (25, "13:30:00", "high", "growth"))]
@@ -17,9 +17,8 @@ HOUR = 3_600_000_000_000
 
 
 def calendar(spark):
-    df = spark.createDataFrame(EVENTS, "t string, tier string, name string")
-    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', to_timestamp_ntz(t))")
-    return df.select((us * 1000).alias("ts"), "name", "tier")
+    df = spark.createDataFrame(EVENTS, "t string, tier string, name string").withColumn("t", F.to_timestamp_ntz("t"))
+    return df.select((micros("t", df) * 1000).alias("ts"), "name", "tier")
 
 
 def rows(spark, sf_dir):

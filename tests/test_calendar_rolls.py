@@ -104,6 +104,24 @@ def test_worst_condition_ranks_pending_above_available(spark):
     assert {r["day"]: r["condition"] for r in R.worst_condition(reports).collect()} == {1: "pending", 2: "degraded", 3: "missing"}
 
 
+def test_next_and_last_events_in_hours_that_the_session_zone_skips(spark, tmp_path):
+    from tapeflow.plans.calendar_queries import calendar_next_last
+
+    times = ["2023-03-12T02:30:00", "2024-01-05T19:00:00", "2024-03-10T02:30:00"]  # the first and last don't exist in New York
+    df = spark.createDataFrame([(i, t, "{\"k\": 1}") for i, t in enumerate(times)], "event_id long, t string, props string")
+    df.select("event_id", F.to_timestamp_ntz("t").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), "props").write.parquet(str(tmp_path / "events.parquet"))
+    inf = float("inf")
+    since = lambda a, b: (ns(b) - ns(a)) / 1e9
+    want = [(0, since(times[0], "2024-01-02T13:30:00"), 3, inf, 0), (1, since(times[1], "2024-01-09T14:00:00"), 1, 0.0, 3), (2, inf, 0, since("2024-01-25T13:30:00", times[2]), 3)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert sorted(tuple(r) for r in calendar_next_last(spark, str(tmp_path)).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_archive_round_trip(spark, tmp_path):
     from tests.records import frame, random_stream
 
